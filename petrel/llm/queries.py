@@ -2,18 +2,49 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .embedding_dedup import near_embeddings
 from .jaccard_join import jaccard_components
+from .kd_shards import kd_shards
+from .mixing import mix_sources
 from .scratch import read_table
+from .substring_dedup import remove_repeats
+
+
+def op1_kd_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = kd_shards(read_table(spark, sf_dir, "documents"), shards=40)
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op5_entropy_balancing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mix_sources(read_table(spark, sf_dir, "documents"), weights=(5, 2, 1), cap=3)
+    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(read_table(spark, sf_dir, "documents"), k=5, percent=80)
 
 
+def op8_hyperplane_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_embeddings(read_table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
+def op10_fixed_block_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(read_table(spark, sf_dir, "documents"), span=13, full=False)
+
+
+QUERIES = [
+    op1_kd_tree_sharding,
+    op5_entropy_balancing,
+    op6_ngram_jaccard_join,
+    op8_hyperplane_near_duplicates,
+    op10_fixed_block_anchors,
+]
+
+
 def queries():
-    return {"op6_ngram_jaccard_join": op6_ngram_jaccard_join}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
