@@ -180,49 +180,74 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", (1 - F.col("o") / (F.col("na") + F.col("nb") - F.col("o"))).alias("dist"), F.expr(f"100 * o >= {percent} * (na + nb - o)").alias("link"))
 
 
-def _links(sets: DataFrame, percent: int, scratch: Scratch, rounds: int = 3) -> DataFrame:
+SKETCH = 16  # longs of a parity sketch
+
+
+def _sketches(r: str) -> list:
+    """Columns of a parity sketch of the hashes in array r: 64 * SKETCH bits, each the parity of the elements it stands for."""
+    return [F.expr(f"aggregate(filter({r}, x -> (shiftright(x, 6) & {SKETCH - 1}) = {j}), 0L, (a, x) -> a ^ shiftleft(1L, cast(x & 63 AS int)))").alias(f"k{j}") for j in range(SKETCH)]
+
+
+def _moved(state: DataFrame, done: DataFrame, roots: DataFrame) -> DataFrame:
+    """state (s, comp, pv, dist) with new components and, where a set had no pivot of its own yet, the one tested last."""
+    tested = done.select(F.col("a").alias("s"), F.col("b").alias("pv1"), F.col("dist").alias("dist1"))
+    new = "pv = s AND pv1 IS NOT NULL"
+    both = state.join(roots.select(F.col("node").alias("s"), "root"), "s", "left").join(tested, "s", "left")
+    return both.select("s", F.coalesce("root", "comp").alias("comp"), F.expr(f"CASE WHEN {new} THEN pv1 ELSE pv END").alias("pv"), F.expr(f"CASE WHEN {new} THEN dist1 ELSE dist END").alias("dist"))
+
+
+def _links(sets: DataFrame, percent: int, scratch: Scratch, rounds: int = 4) -> DataFrame:
     """Links (a, b) between sets: all that are needed for the components, each verified."""
     far = 1 - percent / 100
     need = f"ceil({percent} * n / 100D)"
     # Prefix n - need + 1 of the order (unshared first, then by frequency); position p counts from 0.
-    entries = sets.select("s", "n", F.expr("n - size(r)").alias("u"), F.expr(f"slice(r, 1, greatest(0, cast(size(r) - {need} + 1 AS int)))").alias("r"))
-    entries = entries.select("s", "n", "u", F.posexplode("r").alias("i", "h")).select("h", "s", "n", (F.col("u") + F.col("i")).alias("p"))
+    heads = sets.select("s", "n", F.expr("n - size(r)").alias("u"), F.expr(f"slice(r, 1, greatest(0, cast(size(r) - {need} + 1 AS int)))").alias("head"))
+    entries = heads.select("s", "n", "u", F.posexplode("head").alias("i", "h")).select("h", "s", "n", "u", (F.col("u") + F.col("i")).alias("p"))
     entries = scratch.save(entries, "entries")
     state = scratch.save(sets.select("s", F.col("s").alias("comp"), F.col("s").alias("pv"), F.lit(0.0).alias("dist")), "state-0")
     links = []
     for i in range(rounds):
         now = entries.join(state.select("s", "comp"), "s")
-        # The pivot of a list: the least under an order that changes from round to round.
-        rank = F.xxhash64(F.col("s"), F.lit(i))
-        lists = now.groupBy("h").agg(F.min(F.struct(rank.alias("o"), "s", "n", "comp")).alias("pivot"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1")
+        # A list's pivot: at first the set with the smallest share of elements that no other set has, which is the most
+        # central of a group of near copies; then the least under an order that changes from round to round.
+        rank = (F.struct((F.col("u") / F.col("n")).alias("x"), F.col("s").alias("y")) if i == 0 else F.struct(F.lit(0.0).alias("x"), F.xxhash64("s", F.lit(i)).alias("y"))).alias("o")
+        lists = now.groupBy("h").agg(F.min(F.struct(rank, "s", "n", "comp")).alias("pivot"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1")
         tests = now.join(lists, "h").where(f"comp <> pivot.comp AND 100 * least(n, pivot.n) >= {percent} * greatest(n, pivot.n)")
         tests = tests.groupBy("s", F.col("pivot.s").alias("b")).agg(F.count("*").alias("c")).groupBy("s").agg(F.max(F.struct("c", "b")).alias("best"))
         done = scratch.save(_verified(tests.select(F.col("s").alias("a"), F.col("best.b").alias("b")), sets, percent), f"tests-{i}")
-        links.append(done.where("link").select("a", "b"))
-        found = links[-1].count()
+        new = done.where("link").select("a", "b")
+        found = new.count()
+        if found:
+            links.append(new)
+        # Components only ever grow: the new links join the components there are.
+        label = state.select("s", "comp")
+        joined = new.join(label.toDF("a", "ca"), "a").join(label.toDF("b", "cb"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+        merged = connected_components(joined, scratch, f"pivots-{i}")
+        roots = label.join(merged, F.col("comp") == F.col("node")).select(F.col("s").alias("node"), "root")
+        state = scratch.save(_moved(state, done, roots), f"state-{i + 1}")
         if not found:
-            links.pop()
-            state = scratch.save(state.join(done.select(F.col("a").alias("s"), F.col("b").alias("pv1"), F.col("dist").alias("dist1")), "s", "left").select("s", "comp", F.expr("CASE WHEN pv = s AND pv1 IS NOT NULL THEN pv1 ELSE pv END").alias("pv"), F.expr("CASE WHEN pv = s AND pv1 IS NOT NULL THEN dist1 ELSE dist END").alias("dist")), f"state-{i + 1}")
             break
-        union = links[0]
-        for x in links[1:]:
-            union = union.union(x)
-        roots = connected_components(union, scratch, f"pivots-{i}")
-        state = state.drop("comp").join(roots.select(F.col("node").alias("s"), "root"), "s", "left").join(done.select(F.col("a").alias("s"), F.col("b").alias("pv1"), F.col("dist").alias("dist1")), "s", "left")
-        state = scratch.save(state.select("s", F.coalesce("root", "s").alias("comp"), F.expr("CASE WHEN pv = s AND pv1 IS NOT NULL THEN pv1 ELSE pv END").alias("pv"), F.expr("CASE WHEN pv = s AND pv1 IS NOT NULL THEN dist1 ELSE dist END").alias("dist")), f"state-{i + 1}")
     # The exact rest: entries of lists that still join different components, in blocks by size.
     now = entries.join(state, "s")
     lists = now.groupBy("h").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("h")
-    now = now.join(lists, "h").withColumn("block", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent)) + 1e-9))
-    x = now.select("h", "block", *(F.col(c).alias(f"x_{c}") for c in ("s", "n", "p", "comp", "pv", "dist")))
-    y = now.select("h", F.explode(F.array("block", F.col("block") + 1, F.col("block") - 1)).alias("block"), *(F.col(c).alias(f"y_{c}") for c in ("s", "n", "p", "comp", "pv", "dist")))
+    now = scratch.save(now.join(lists, "h"), "open")
+    marks = now.select("s").distinct().join(sets, "s").select("s", *_sketches("r")).join(heads.select("s", "head"), "s")
+    now = scratch.save(now.join(marks, "s").withColumn("block", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent)) + 1e-9)), "open-marked")
+    columns = ["s", "n", "u", "p", "comp", "pv", "dist", "head", *(f"k{j}" for j in range(SKETCH))]
+    x = now.select("h", "block", *(F.col(c).alias(f"x_{c}") for c in columns))
+    y = now.select("h", F.explode(F.array("block", F.col("block") + 1, F.col("block") - 1)).alias("block"), *(F.col(c).alias(f"y_{c}") for c in columns))
+    apart = " + ".join(f"bit_count(x_k{j} ^ y_k{j})" for j in range(SKETCH))
     pairs = x.join(y, ["h", "block"]).where(
         "x_s < y_s AND x_comp <> y_comp"
         f" AND 100 * least(x_n, y_n) >= {percent} * greatest(x_n, y_n)"
         f" AND {100 + percent} * least(x_n - x_p, y_n - y_p) >= {percent} * (x_n + y_n)"
         f" AND NOT (x_pv = y_pv AND abs(x_dist - y_dist) > {far} + 1e-9)"
+        # Unshared elements and the bits in which the sketches differ bound the symmetric difference from below.
+        f" AND {100 + percent} * (x_u + y_u + {apart}) <= {100 - percent} * (x_n + y_n)"
+        # A pair is made once, in the list of the first element that both prefixes have.
+        " AND array_intersect(x_head, y_head)[0] = h"
     )
-    pairs = pairs.select(F.col("x_s").alias("a"), F.col("y_s").alias("b")).distinct()
+    pairs = pairs.select(F.col("x_s").alias("a"), F.col("y_s").alias("b"))
     rest = scratch.save(_verified(pairs, sets, percent), "rest").where("link").select("a", "b")
     for part in links:
         rest = rest.union(part)
