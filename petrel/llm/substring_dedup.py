@@ -79,16 +79,18 @@ def _anchors(block: int, span: int, bits: int):
 
 def _anchored(bits: int):
     def run(table: pa.Table) -> pa.Table:
-        """The windows whose hash is a reference block's and occurs twice: rows (key, hash)."""
+        """The windows whose hash is a reference block's and occurs in two documents: rows (key, hash)."""
         b = np.uint64(table.column("bucket")[0].as_py())
         h, o = wk.unpack(table, [4, 5])
         order = np.argsort(h, kind="stable")
         h, o = h[order], o[order]
         head = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
         n = np.diff(np.append(head, len(h)))
+        key = o & np.uint64((1 << KEY_BITS) - 1)
         ref = np.maximum.reduceat(o >> np.uint64(KEY_BITS), head)
-        hit = np.repeat((n >= 2) & (ref > 0), n)
-        h, o = h[hit] | (b << np.uint64(32)), o[hit] & np.uint64((1 << KEY_BITS) - 1)
+        two = np.maximum.reduceat(key, head) > np.minimum.reduceat(key, head)
+        hit = np.repeat(two & (ref > 0), n)
+        h, o = h[hit] | (b << np.uint64(32)), key[hit]
         order = np.lexsort((h, o))
         h, o = h[order], o[order]
         new = np.ones(len(h), bool)
