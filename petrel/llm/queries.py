@@ -77,8 +77,14 @@ def op10_fixed_block_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = [op1_kd_tree_sharding, op2_warc_normaliser, op3_chat_parts, op4_sentencepiece_offsets, op5_entropy_balancing, op6_ngram_jaccard_join, op7_simhash, op8_hyperplane_near_duplicates, op9_viterbi_language, op10_fixed_block_anchors]
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries():
-    return {f.__name__: f for f in QUERIES}
+    return {f.__name__: f for f in [*QUERIES, pipeline]}
 
 
 def oracle_sql() -> dict[str, str]:

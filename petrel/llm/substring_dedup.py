@@ -183,7 +183,7 @@ def covered_words(g13: np.ndarray, n: int, span: int, bits: int, hashes: np.ndar
 def _cut(span: int, bits: int, full: bool):
     def run(batches):
         for batch in batches:
-            for (ids, hashes), raw, off in wk.slices([batch.column(0), batch.column(2)], batch.column(1)):
+            for (ids, hashes, carried), raw, off in wk.slices([batch.column(0), batch.column(2), batch.column(3)], batch.column(1)):
                 start, end, first, w, _ = _windows(raw, off, span)
                 g13 = wk.window_hashes(w, span)
                 values, bound = _lists(hashes)
@@ -214,9 +214,9 @@ def _cut(span: int, bits: int, full: bool):
                         shas.append(hashlib.sha256(joined).hexdigest())
                 head = [ids, pa.array(n_words, pa.int64()), pa.array(n_gone, pa.int64())]
                 if full:
-                    yield pa.RecordBatch.from_arrays([*head, pa.array(texts, pa.string()), pa.array(spans, pa.list_(pa.struct([("first", pa.int64()), ("words", pa.int64())])))], names=["id", "n_words", "n_removed", "kept_text", "removed"])
+                    yield pa.RecordBatch.from_arrays([*head, pa.array(texts, pa.string()), pa.array(spans, pa.list_(pa.struct([("first", pa.int64()), ("words", pa.int64())]))), carried], names=["id", "n_words", "n_removed", "kept_text", "removed", "carried"])
                 else:
-                    yield pa.RecordBatch.from_arrays([*head, pa.array(shas, pa.string())], names=["id", "n_words", "n_removed", "kept_sha256"])
+                    yield pa.RecordBatch.from_arrays([*head, pa.array(shas, pa.string()), carried], names=["id", "n_words", "n_removed", "kept_sha256", "carried"])
 
     return run
 
@@ -239,14 +239,15 @@ def repeated_windows(docs: DataFrame, id_col: str, text_col: str, span: int, scr
     return gone.groupBy("id").agg(F.collect_list("h").alias("hashes")), bits
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 13, full: bool = True, scratch: Scratch | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 13, full: bool = True, carry: list[str] | None = None, scratch: Scratch | None = None) -> DataFrame:
     """A row per document: id, n_words, n_removed, and with full the text without the removed words
     (the white space of what is left is kept) and their runs (first, words); else kept_sha256, the digest of
-    the kept words joined by a space."""
+    the kept words joined by a space.  Columns named in carry come along."""
     scratch = scratch or Scratch(docs.sparkSession, "substrings")
     gone, bits = repeated_windows(docs, id_col, text_col, span, scratch)
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    mine = texts.join(gone.withColumnRenamed("id", "of"), F.coalesce("id", F.lit(int(NO_ID))) == F.col("of"), "left").select("id", "text", "hashes")
+    carried = F.struct(*[F.col(c) for c in carry]) if carry else F.struct(F.lit(True).alias("row"))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), carried.alias("carried"))
+    mine = texts.join(gone.withColumnRenamed("id", "of"), F.coalesce("id", F.lit(int(NO_ID))) == F.col("of"), "left").select("id", "text", "hashes", "carried")
     kind = "kept_text string, removed array<struct<first: long, words: long>>" if full else "kept_sha256 string"
-    out = mine.mapInArrow(_cut(span, bits, full), f"id long, n_words long, n_removed long, {kind}")
-    return out.withColumnRenamed("id", id_col)
+    out = mine.mapInArrow(_cut(span, bits, full), f"id long, n_words long, n_removed long, {kind}, carried {mine.schema['carried'].dataType.simpleString()}")
+    return out.select(F.col("id").alias(id_col), *[c for c in out.columns if c not in ("id", "carried")], *[F.col(f"carried.{c}").alias(c) for c in carry or []])
