@@ -9,6 +9,7 @@ from __future__ import annotations
 import atexit
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -57,9 +58,15 @@ class Scratch:
             delete(self.spark, f"{self.root}/{name}")
 
     def release(self) -> None:
-        """Let Spark's cleaner remove the shuffle files of jobs that are over."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
+        """Let Spark's cleaner remove the shuffle files of jobs that are over.
+
+        A plan is let go of in two steps, Python's handle and then what the plan itself holds,
+        and the cleaner works on its own thread: hence two rounds and the short waits.
+        """
+        for _ in range(2):
+            gc.collect()
+            self.spark.sparkContext._jvm.System.gc()
+            time.sleep(0.4)
 
     def _at_exit(self) -> None:
         try:

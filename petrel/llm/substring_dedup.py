@@ -230,12 +230,14 @@ def repeated_windows(docs: DataFrame, id_col: str, text_col: str, span: int, scr
     dealt = texts.select("k", "text").mapInArrow(_anchors(block, span, bits), wk.PACKED)
     hits = dealt.groupBy("bucket").applyInArrow(_anchored(bits), "k long, h long")
     hits = scratch.save(hits, "anchors")
+    del dealt
     scratch.release()
     mine = texts.join(hits.groupBy("k").agg(F.collect_list("h").alias("hits")), "k")
     dealt = mine.select("id", "text", "hits").mapInArrow(_extended(block, span, bits, bits), wk.PACKED)
     gone = scratch.save(dealt.groupBy("bucket").applyInArrow(_later, "id long, h long"), "later")
-    scratch.release()
+    del dealt, mine, hits
     scratch.drop("anchors")
+    scratch.release()
     return gone.groupBy("id").agg(F.collect_list("h").alias("hashes")), bits
 
 
