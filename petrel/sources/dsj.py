@@ -296,12 +296,12 @@ def _stream_rows(container: str, nested: bool):
 
 def cells(value: Column, n: int, where: Column) -> Column:
     """Array of the texts of a row's n cells; a row that is no array of n values fails the query."""
-    parsed = F.from_json(value, "array<string>")
-    # Text behind the row's end would be passed over: the variant parser takes one whole value or none.
-    whole = F.try_parse_json(value).isNotNull() & F.trim(value).startswith("[")
+    # Text behind a row's end would be passed over; inside one more pair of brackets it is an error.
+    wrapped = F.from_json(F.concat(F.lit("["), value, F.lit("]")), "array<array<string>>")
+    parsed = F.when((F.size(wrapped) == 1) & F.ltrim(value).startswith("["), wrapped[0])
     size = F.size(parsed)
     return (
-        F.when(~F.coalesce(whole, F.lit(False)) | parsed.isNull(), F.raise_error(F.concat(F.lit("not a row: "), F.substring(value, 1, 80))).cast("array<string>"))
+        F.when(parsed.isNull(), F.raise_error(F.concat(F.lit("not a row: "), F.substring(value, 1, 80))).cast("array<string>"))
         .when(size != n, F.raise_error(F.concat(F.lit("row "), where, F.lit(" has "), size.cast("string"), F.lit(f" values, {n} expected"))).cast("array<string>"))
         .otherwise(parsed)
     )
@@ -336,7 +336,7 @@ def read_dsj(spark: SparkSession, path: str, verify: bool = True, row_index: boo
     out = []
     for c in wanted:
         cell = F.col("cells")[c.index]
-        kind = F.schema_of_variant(F.try_variant_get(F.parse_json(F.col("value")), f"$[{c.index}]", "variant")) if strict else F.lit("DOUBLE")
+        kind = F.schema_of_variant(F.try_variant_get(F.try_parse_json(F.col("value")), f"$[{c.index}]", "variant")) if strict else F.lit("DOUBLE")
         x = typed(cell, kind, c.data_type, c.name)
         if apply_targets and mapping.parse_type(c.target_type, mapping.TARGET_TYPES) in ("integer", "decimal"):
             x = mapping.target_mapper(c.data_type, c.target_type)(x.cast("string") if buffer_type(c.data_type) == "double" else x)
