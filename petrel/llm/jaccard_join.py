@@ -180,7 +180,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", (1 - F.col("o") / (F.col("na") + F.col("nb") - F.col("o"))).alias("dist"), F.expr(f"100 * o >= {percent} * (na + nb - o)").alias("link"))
 
 
-SKETCH = 16  # longs of a parity sketch
+SKETCH = 8  # longs of a parity sketch
 
 
 def _sketches(r: str) -> list:
@@ -201,8 +201,8 @@ def _links(sets: DataFrame, percent: int, scratch: Scratch, rounds: int = 4) ->
     far = 1 - percent / 100
     need = f"ceil({percent} * n / 100D)"
     # Prefix n - need + 1 of the order (unshared first, then by frequency); position p counts from 0.
-    heads = sets.select("s", "n", F.expr("n - size(r)").alias("u"), F.expr(f"slice(r, 1, greatest(0, cast(size(r) - {need} + 1 AS int)))").alias("head"))
-    entries = heads.select("s", "n", "u", F.posexplode("head").alias("i", "h")).select("h", "s", "n", "u", (F.col("u") + F.col("i")).alias("p"))
+    entries = sets.select("s", "n", F.expr("n - size(r)").alias("u"), F.expr(f"slice(r, 1, greatest(0, cast(size(r) - {need} + 1 AS int)))").alias("r"))
+    entries = entries.select("s", "n", "u", F.posexplode("r").alias("i", "h")).select("h", "s", "n", "u", (F.col("u") + F.col("i")).alias("p"))
     entries = scratch.save(entries, "entries")
     state = scratch.save(sets.select("s", F.col("s").alias("comp"), F.col("s").alias("pv"), F.lit(0.0).alias("dist")), "state-0")
     links = []
@@ -230,24 +230,23 @@ def _links(sets: DataFrame, percent: int, scratch: Scratch, rounds: int = 4) ->
     # The exact rest: entries of lists that still join different components, in blocks by size.
     now = entries.join(state, "s")
     lists = now.groupBy("h").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("h")
-    now = scratch.save(now.join(lists, "h"), "open")
-    marks = now.select("s").distinct().join(sets, "s").select("s", *_sketches("r")).join(heads.select("s", "head"), "s")
-    now = scratch.save(now.join(marks, "s").withColumn("block", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent)) + 1e-9)), "open-marked")
-    columns = ["s", "n", "u", "p", "comp", "pv", "dist", "head", *(f"k{j}" for j in range(SKETCH))]
+    now = now.join(lists, "h")
+    now = scratch.save(now.join(now.select("s").distinct().join(sets, "s").select("s", *_sketches("r")), "s"), "open")
+    now = now.withColumn("block", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent)) + 1e-9))
+    columns = ["s", "n", "u", "p", "comp", "pv", "dist", *(f"k{j}" for j in range(SKETCH))]
+    # x is the larger set of a pair, so y is of its block or of the one below.
     x = now.select("h", "block", *(F.col(c).alias(f"x_{c}") for c in columns))
-    y = now.select("h", F.explode(F.array("block", F.col("block") + 1, F.col("block") - 1)).alias("block"), *(F.col(c).alias(f"y_{c}") for c in columns))
+    y = now.select("h", F.explode(F.array("block", F.col("block") + 1)).alias("block"), *(F.col(c).alias(f"y_{c}") for c in columns))
     apart = " + ".join(f"bit_count(x_k{j} ^ y_k{j})" for j in range(SKETCH))
     pairs = x.join(y, ["h", "block"]).where(
-        "x_s < y_s AND x_comp <> y_comp"
-        f" AND 100 * least(x_n, y_n) >= {percent} * greatest(x_n, y_n)"
+        "(x_n > y_n OR x_n = y_n AND x_s > y_s) AND x_comp <> y_comp"
+        f" AND 100 * y_n >= {percent} * x_n"
         f" AND {100 + percent} * least(x_n - x_p, y_n - y_p) >= {percent} * (x_n + y_n)"
         f" AND NOT (x_pv = y_pv AND abs(x_dist - y_dist) > {far} + 1e-9)"
         # Unshared elements and the bits in which the sketches differ bound the symmetric difference from below.
         f" AND {100 + percent} * (x_u + y_u + {apart}) <= {100 - percent} * (x_n + y_n)"
-        # A pair is made once, in the list of the first element that both prefixes have.
-        " AND array_intersect(x_head, y_head)[0] = h"
     )
-    pairs = pairs.select(F.col("x_s").alias("a"), F.col("y_s").alias("b"))
+    pairs = pairs.select(F.col("x_s").alias("a"), F.col("y_s").alias("b")).distinct()
     rest = scratch.save(_verified(pairs, sets, percent), "rest").where("link").select("a", "b")
     for part in links:
         rest = rest.union(part)
