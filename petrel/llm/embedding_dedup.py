@@ -77,39 +77,46 @@ def _spread(linked: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarra
 
 
 def _compare(threshold: float, tables: int):
-    def unit(vecs: pa.ListArray) -> np.ndarray:
-        v = vecs.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vecs), -1)
-        v = v / np.abs(v).max(axis=1, keepdims=True)
-        return v / np.linalg.norm(v, axis=1, keepdims=True)
+    def links_of(t: int, same_tile: bool, left: np.ndarray, right: np.ndarray, c, n, unit, codes, out: list) -> None:
+        step = 512
+        for x in range(0, len(left), step):
+            for y in range(x if same_tile else 0, len(right), step):
+                p, q = left[x : x + step], right[y : y + step]
+                near = unit(p) @ unit(q).T >= threshold
+                if same_tile and x == y:
+                    near &= np.tri(len(p), len(q), -1, dtype=bool).T
+                for s in range(t):
+                    if not near.any():
+                        break
+                    near &= codes[p, s][:, None] != codes[q, s][None, :]
+                if near.any():
+                    a, b = _spread(near, c[p], c[q])
+                    for of, root, links in ((p, a, near @ n[q]), (q, b, near.T @ n[p])):
+                        some = links > 0
+                        out.append((c[of][some], root[some], links[some]))
 
     def run(table: pa.Table) -> pa.Table:
+        """Links of the pairs of tiles that a group of buckets holds, each bucket's rows next to each other."""
         table = table.combine_chunks()
-        t, i, j = (table.column(x)[0].as_py() for x in ("t", "i", "j"))
-        tile = table.column("tile").to_numpy()
-        c, n = table.column("c").to_numpy(), table.column("n").to_numpy()
-        vec = table.column("embedding").combine_chunks()
+        t = table.column("t")[0].as_py()
+        bucket, i, j, tile = (table.column(x).to_numpy() for x in ("b", "i", "j", "tile"))
+        c, n, dim = (table.column(x).to_numpy() for x in ("c", "n", "dim"))
+        flat = table.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        at = np.cumsum(dim) - dim
         codes = np.frombuffer(b"".join(table.column("codes").to_pylist()), np.int32).reshape(len(c), tables)
-        left, right = np.flatnonzero(tile == i), np.flatnonzero(tile == j)
-        out = []
-        if len(left) and len(right):
-            u, step = unit(vec), 512
-            for x in range(0, len(left), step):
-                for y in range(0, len(right), step):
-                    p, q = left[x : x + step], right[y : y + step]
-                    if i == j and y < x:
-                        continue
-                    near = u[p] @ u[q].T >= threshold
-                    if i == j and x == y:
-                        near &= np.tri(len(p), len(q), -1, dtype=bool).T
-                    for s in range(t):
-                        if not near.any():
-                            break
-                        near &= codes[p, s][:, None] != codes[q, s][None, :]
-                    if near.any():
-                        a, b = _spread(near, c[p], c[q])
-                        for of, root, links in ((p, a, near @ n[q]), (q, b, near.T @ n[p])):
-                            some = links > 0
-                            out.append((c[of][some], root[some], links[some]))
+
+        def unit(rows: np.ndarray) -> np.ndarray:
+            v = flat[at[rows][:, None] + np.arange(dim[rows[0]])]
+            v = v / np.abs(v).max(axis=1, keepdims=True)
+            return v / np.sqrt(np.einsum("ij,ij->i", v, v))[:, None]
+
+        order = np.argsort(bucket, kind="stable")
+        cuts = np.flatnonzero(np.diff(bucket[order])) + 1
+        out: list = []
+        for rows in np.split(order, cuts):
+            if len(rows) > 1:
+                first, second = i[rows[0]], j[rows[0]]
+                links_of(t, first == second, rows[tile[rows] == first], rows[tile[rows] == second], c, n, unit, codes, out)
         columns = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 3
         return pa.table(dict(zip(("c", "root", "links"), columns, strict=True)))
 
@@ -128,7 +135,8 @@ def near_embeddings(vectors: DataFrame, threshold: float = 0.93, id_col: str = "
     members = scratch.save(hashed.select("id", *keys), "members")
     classes = hashed.where("sound").groupBy(*keys).agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.any_value("embedding").alias("embedding"))
     classes = scratch.save(classes.withColumn("c", F.xxhash64(*keys)), "classes")
-    bits, tables = plan(classes.count(), threshold)
+    n_classes = classes.count()
+    bits, tables = plan(n_classes, threshold)
     coded = classes.select("c", "embedding").mapInArrow(_codes(bits, tables), "c long, codes binary, code array<int>")
     coded = scratch.save(coded, "coded")
     flat = coded.join(classes.select("c", "label", F.size("embedding").alias("dim")), "c").select("c", "label", "dim", F.posexplode("code").alias("t", "code"))
@@ -138,8 +146,11 @@ def near_embeddings(vectors: DataFrame, threshold: float = 0.93, id_col: str = "
     placed = flat.join(full, bucket).withColumn("tile", F.expr("cast(pmod(hash(c), tiles) AS int)"))
     # The pairs of tiles (i, j), i <= j, that a row takes part in.
     placed = placed.withColumn("other", F.explode(F.expr("sequence(0, tiles - 1)"))).withColumn("i", F.least("tile", "other")).withColumn("j", F.greatest("tile", "other"))
-    work = placed.select("c", *bucket, "tile", "i", "j").join(classes.select("c", "n", "embedding"), "c").join(coded.select("c", "codes"), "c")
-    found = work.groupBy(*bucket, "i", "j").applyInArrow(_compare(threshold, tables), "c long, root long, links long")
+    # Buckets are mostly small: a task's group takes some thousand rows of whole buckets, told apart by b.
+    placed = placed.withColumn("b", F.xxhash64("label", "dim", "code", "i", "j"))
+    slots = max(1, n_classes // 2048)
+    work = placed.select("c", "t", "dim", "b", "tile", "i", "j", F.pmod("b", F.lit(slots)).alias("slot")).join(classes.select("c", "n", "embedding"), "c").join(coded.select("c", "codes"), "c")
+    found = work.groupBy("t", "slot").applyInArrow(_compare(threshold, tables), "c long, root long, links long")
     found = scratch.save(found, "found")
     roots = connected_components(found.select(F.col("c").alias("a"), F.col("root").alias("b")).distinct(), scratch, "embeddings-cc")
     links = found.groupBy("c").agg(F.sum("links").alias("links"))
