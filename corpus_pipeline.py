@@ -37,9 +37,10 @@ LEAST_SHARE = 0.5
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the texts of which one language holds LEAST_SHARE of the letters or more."""
     model = language_id.train(docs, ~language_id.held_out())
-    rows = docs.select("doc_id", "text", F.struct(*COLUMNS).alias("row"))
-    labelled = language_id.identify(rows.select("row", "text"), model, id_col="row")
-    return labelled.where(f"lang_pred <> 'und' AND score >= {LEAST_SHARE}").select(*[f"row.{c}" for c in COLUMNS])
+    rows = docs.select("text", F.struct(*[c for c in COLUMNS if c != "text"]).alias("row"))
+    labelled = language_id.identify(rows, model, id_col="row", keep_text=True)
+    kept = labelled.where(f"lang_pred <> 'und' AND score >= {LEAST_SHARE}")
+    return kept.select(*["text" if c == "text" else f"row.{c}" for c in COLUMNS])
 
 
 def near_dups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -34,7 +34,7 @@ from .components import connected_components
 from .scratch import Scratch
 
 MASK40 = np.uint64((1 << 40) - 1)
-FLUSH = 1_500_000
+FLUSH = 1_000_000
 
 
 def sets_of(raw: np.ndarray, off: np.ndarray, k: int) -> list[np.ndarray]:
@@ -68,7 +68,7 @@ def _profiles(k: int):
                 sets = sets_of(raw, off, k)
                 yield pa.RecordBatch.from_arrays([ids, pa.array([len(s) for s in sets], pa.int64()), *(pa.array(signed(np.array([digest(s, seed) for s in sets], dtype=np.uint64))) for seed in (0, 77))], names=["id", "n", "d1", "d2"])
 
-    return run
+    return wk.lean(run)
 
 
 def _dealt(k: int, bits: int, keep, set_bytes: int, hash_bytes: int):
@@ -99,7 +99,7 @@ def _dealt(k: int, bits: int, keep, set_bytes: int, hash_bytes: int):
         if held:
             yield flush()
 
-    return run
+    return wk.lean(run)
 
 
 def _shared(table: pa.Table, hash_bytes: int, set_bytes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -175,13 +175,14 @@ def _has_letter(raw: np.ndarray) -> bool:
     return any(c.isalpha() for c in raw.tobytes().decode("utf-8", "replace"))
 
 
-def _predict(model, penalty: float, spans: bool):
+def _predict(model, penalty: float, spans: bool, keep: bool):
     def run(batches):
         m = model.value
         langs, k = m["langs"], len(m["langs"])
         span_type = pa.list_(pa.struct([("first", pa.int64()), ("words", pa.int64()), ("lang", pa.string())]))
 
-        def label(keys, parts):
+        def label(batch, begun, rows, parts):
+            keys = batch.column(0).slice(begun, rows - begun)
             data_letters = np.concatenate([p[0].letters for p in parts])
             lengths = np.concatenate([np.diff(p[0].first) for p in parts])
             real = np.concatenate([p[2] for p in parts])
@@ -201,6 +202,9 @@ def _predict(model, penalty: float, spans: bool):
                     runs.append([{"first": int(a), "words": int(b - a), "lang": langs[g[a]]} for a, b in zip(cut, np.append(cut[1:], n), strict=True)] if len(cut) else [])
                 out.append(pa.array(runs, span_type))
                 names.append("spans")
+            if keep:
+                out.append(batch.column(1).slice(begun, rows - begun))
+                names.append("text")
             return pa.RecordBatch.from_arrays(out, names=names)
 
         for batch in batches:
@@ -214,22 +218,23 @@ def _predict(model, penalty: float, spans: bool):
                 parts.append((data, word_scores(data, m) if k else np.zeros((len(data.start), 0), np.float32), real))
                 data.text = data.letter = None
                 held, rows = held + len(data.start), rows + len(off) - 1
-                if held >= 1_500_000:
-                    yield label(batch.column(0).slice(begun, rows - begun), parts)
+                if held >= 1_000_000:
+                    yield label(batch, begun, rows, parts)
                     parts, begun, held = [], rows, 0
             if parts:
-                yield label(batch.column(0).slice(begun, rows - begun), parts)
+                yield label(batch, begun, rows, parts)
 
-    return run
+    return wk.lean(run)
 
 
-def identify(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text", penalty: float = 8.0, spans: bool = False) -> DataFrame:
-    """(id, lang_pred, score), with ``spans`` also the labelled runs of words, for every row of docs."""
+def identify(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text", penalty: float = 8.0, spans: bool = False, keep_text: bool = False) -> DataFrame:
+    """(id, lang_pred, score), with ``spans`` also the labelled runs of words, for every row of docs; id_col may be a
+    struct of columns that come along, and ``keep_text`` adds the text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # some 0.8 MB a language
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
-    extra = ", spans array<struct<first: long, words: long, lang: string>>" if spans else ""
-    return rows.mapInArrow(_predict(shared, penalty, spans), f"id {kind}, lang_pred string, score double{extra}").withColumnRenamed("id", id_col)
+    extra = (", spans array<struct<first: long, words: long, lang: string>>" if spans else "") + (", text string" if keep_text else "")
+    return rows.mapInArrow(_predict(shared, penalty, spans, keep_text), f"id {kind}, lang_pred string, score double{extra}").withColumnRenamed("id", id_col)
 
 
 def held_out(id_col: str = "doc_id") -> Column:

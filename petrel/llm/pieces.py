@@ -25,8 +25,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .wordkernel import lean
+
 SPACE = "▁"
-REMEMBERED = 300_000  # segments a worker remembers
+REMEMBERED = 200_000  # segments a worker remembers
 
 
 class CharMap:
@@ -136,7 +138,8 @@ class PieceEncoder:
         fallback = any(p.type == 6 for p in proto.pieces)
         own = any(p.type == 4 for p in proto.pieces)
         self.by_segment = self.normalize.identity and spec.add_dummy_prefix and spec.escape_whitespaces and fallback and not inner and not own and not proto.trainer_spec.treat_whitespace_as_suffix
-        self.known: dict[str, tuple[list[int], str]] = {}
+        self.numbers = list(range(len(proto.pieces)))  # one object for each id, shared by all that is remembered
+        self.known: dict[str, tuple[tuple[int, ...], str]] = {}
         self.runs = re.compile(" *[^ ]+| +$")
 
     def segments(self, text: str) -> list[str]:
@@ -155,10 +158,10 @@ class PieceEncoder:
         for i in range(0, len(new), 20_000):
             part = new[i : i + 20_000]
             for s, ids in zip(part, self.lib.encode(part, num_threads=1), strict=True):
-                self.known[s] = (ids, " ".join(map(str, ids)))
+                self.known[s] = (tuple([self.numbers[i] for i in ids]), " ".join(map(str, ids)))
         if "" in self.known and not self.known[""][0]:
             space = self.lib.piece_to_id(SPACE)
-            self.known[""] = ([space], str(space))
+            self.known[""] = ((space,), str(space))
 
     def encode(self, texts: list[str]) -> list[tuple[list[int], str]]:
         """ids of each text and their decimal string, without the end id."""
@@ -219,8 +222,9 @@ def _digests(model):
                 ids.append(hashlib.sha256(f"{s} {tail}".encode() if s else tail.encode()).hexdigest())
                 decoded.append(hashlib.sha256(enc.lib.decode([*i, enc.end]).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([keys, pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        enc.known.clear()
 
-    return run
+    return lean(run)
 
 
 def _pieces(model):
@@ -232,8 +236,9 @@ def _pieces(model):
             coded = [i for i, _ in enc.encode(texts)]
             spans = [enc.spans(t, i) for t, i in zip(texts, coded, strict=True)]
             yield pa.RecordBatch.from_arrays([keys, pa.array([[*i, enc.end] for i in coded], kind), pa.array([a.tolist() for a, _ in spans], kind), pa.array([b.tolist() for _, b in spans], kind), pa.array([enc.lib.decode([*i, enc.end]) for i in coded], pa.string())], names=["id", "ids", "begin", "end", "decoded"])
+        enc.known.clear()
 
-    return run
+    return lean(run)
 
 
 def encode_texts(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, functions as F
 from . import wordkernel as wk
 from .scratch import Scratch
 
-FLUSH = 1_500_000
+FLUSH = 1_000_000
 KEY_BITS = 39
 NO_ID = np.iinfo(np.int64).max
 
@@ -74,7 +74,7 @@ def _anchors(block: int, span: int, bits: int):
         if held:
             yield flush()
 
-    return run
+    return wk.lean(run)
 
 
 def _anchored(bits: int):
@@ -148,7 +148,7 @@ def _extended(block: int, span: int, anchor_bits: int, bits: int):
         if held:
             yield flush()
 
-    return run
+    return wk.lean(run)
 
 
 def _later(table: pa.Table) -> pa.Table:
@@ -218,7 +218,7 @@ def _cut(span: int, bits: int, full: bool):
                 else:
                     yield pa.RecordBatch.from_arrays([*head, pa.array(shas, pa.string()), carried], names=["id", "n_words", "n_removed", "kept_sha256", "carried"])
 
-    return run
+    return wk.lean(run)
 
 
 def repeated_windows(docs: DataFrame, id_col: str, text_col: str, span: int, scratch: Scratch) -> tuple[DataFrame, int]:
