@@ -13,7 +13,8 @@ Steps (t = threshold; a set of n shingles needs ceil(t*n) in common with any par
 
 1. Texts become sets; equal sets are one class from here on.
 2. Filter: of each set the n - ceil(t*n) + l smallest hashes (l = 5 % of n) are dealt by
-   hash, packed.  A linked set has at least l of them in some other set as well.
+   hash, packed.  A linked set has at least as many of them in its partner's part as l is
+   for a set of ceil(t*n) elements.
 3. The sets that are left are dealt whole; the elements that occur in two sets come back
    with their frequencies.  A set with fewer than ceil(t*n) of them has no partner.
 4. Index, pivots, components, and the exact rest, as above.
@@ -142,12 +143,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     total, rows = prof.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     classes = scratch.save(prof.where("n > 0 AND id IS NOT NULL").groupBy("n", "d1", "d2").agg(F.min("id").alias("rep")), "classes")
 
-    # 2: which sets have enough of their smallest hashes in other sets
+    # 2: which sets have enough of their smallest hashes in other sets.  The first l common elements of a pair lie in
+    # both parts for the lesser l of the two; a partner has ceil(t*n) elements at least, hence the bound on the count.
     slack = lambda n: max(1, n // 20)
     bits = wk.bucket_bits(total * (1.05 - percent / 100))
     dealt = texts.select("text").mapInArrow(_dealt(k, bits, lambda n: n - need(n) + slack(n), 5, 4), wk.PACKED)
     hits = dealt.groupBy("bucket").applyInArrow(_counts, "s long, c long").groupBy("s").agg(F.sum("c").alias("c"))
-    alive = classes.withColumn("s", F.expr(f"d1 & {int(MASK40)}L")).join(hits, "s").where("c >= greatest(1, n div 20)").select("n", "d1", "d2", "rep")
+    alive = classes.withColumn("s", F.expr(f"d1 & {int(MASK40)}L")).join(hits, "s").where(f"c >= greatest(1, {need_sql('n')} div 20)").select("n", "d1", "d2", "rep")
     alive = scratch.save(alive, "alive")
     scratch.release()
 
