@@ -163,3 +163,17 @@ def test_metadata_and_targets(spark, tmp_path):
     assert (t.originator, t.source_system.name, t.records) == ("me", "S", 1)
     assert [r.key_sequence for r in metadata.dsj_columns(spark, path).collect()] == [1, -1]
     assert dsj.read_dsj(spark, path).schema["D"].metadata["keySequence"] == 1
+
+
+def test_nested_cells_keep_their_json(spark, tmp_path):
+    path = put(tmp_path / "a.json", head([("V", "string"), ("W", "decimal")], 1), [[{"a": [1, 2]}, "1,5"]])
+    assert got(dsj.read_dsj(spark, path)) == [('{"a":[1,2]}', "1,5")]
+
+
+def test_folder_of_one_layout(spark, tmp_path):
+    put(tmp_path / "a.ndjson", head(DM, 1), [["A", 1]])
+    put(tmp_path / "b.json", head(DM, 2), [["B", 2], ["C", 3]], nested=True)
+    assert got(dsj.read_dsj(spark, str(tmp_path))) == [("A", 1.0), ("B", 2.0), ("C", 3.0)]
+    put(tmp_path / "c.json", head([("OTHER", "string")], 0), [])
+    with pytest.raises(ValueError, match="differ"):
+        dsj.read_dsj(spark, str(tmp_path))
