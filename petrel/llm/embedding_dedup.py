@@ -128,7 +128,7 @@ def near_embeddings(vectors: DataFrame, threshold: float = 0.93, id_col: str = "
     scratch = scratch or Scratch(vectors.sparkSession, "embeddings")
     v = F.col("embedding")
     sound = F.col("label").isNotNull() & v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists(v, lambda x: x != 0)
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), v.alias("embedding") if vec_col == "embedding" else F.col(vec_col).alias("embedding"), F.col(label_col).alias("label"))
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("embedding"), F.col(label_col).alias("label"))
     rows = rows.withColumn("sound", F.coalesce(sound, F.lit(False)))
     keys = ["label", "h1", "h2"]
     hashed = rows.withColumn("h1", F.when(F.col("sound"), F.xxhash64("label", "embedding"))).withColumn("h2", F.when(F.col("sound"), F.xxhash64("embedding", F.lit(1))))

@@ -25,7 +25,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import wordkernel as wk
-from .scratch import Scratch
 
 GRAMS = (2, 3, 4)
 BITS = 16

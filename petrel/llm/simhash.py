@@ -31,15 +31,13 @@ PAIR_WEIGHT, WORD_WEIGHT = 4, 1
 LANES = (1 << 32) | 1
 
 
-def _terms(text: Column) -> Column:
-    """Array of (hash, weight) of the words of a text and of its pairs of neighbouring words."""
-    words = F.transform(F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != ""), lambda w: F.xxhash64(w))
-    return words
+def _word_hashes(text: Column) -> Column:
+    return F.transform(F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != ""), lambda w: F.xxhash64(w))
 
 
 def fingerprints(texts: DataFrame, keys: list[str], text: str) -> DataFrame:
     """(keys, fp long): the fingerprint of each row of texts; keys tell the rows apart."""
-    words = texts.select(*keys, _terms(F.coalesce(F.col(text), F.lit(""))).alias("w"))
+    words = texts.select(*keys, _word_hashes(F.coalesce(F.col(text), F.lit(""))).alias("w"))
     # Each word with the one before it; the first row of a text has no pair, an empty text one row that votes on nothing.
     pairs = F.arrays_zip(F.col("w").alias("a"), F.slice(F.col("w"), 2, F.greatest(F.size("w") - 1, F.lit(1))).alias("b"))
     rows = words.select(*keys, F.explode_outer(pairs).alias("t")).select(*keys, F.col("t.a").alias("a"), F.col("t.b").alias("b"))
