@@ -6,7 +6,7 @@ import pytest
 from petrel import metadata
 from petrel.codecs import ibm, rdc, rle
 from petrel.operators import tables
-from petrel.sources import sas7bdat, xpt
+from petrel.sources import sas7bdat
 from petrel.testing import encoders as E
 
 
