@@ -7,7 +7,9 @@ take over the pivot's answers: the pivot is verified first, its component is inh
 and by the triangle inequality of the Jaccard distance a set's distance to the pivot
 rules out partners without looking at them.  Only pairs of lists that still join two
 different components are verified at the end, so a group of thousands of near copies
-costs a number of comparisons in proportion to its size, and no link is lost.
+costs a number of comparisons in proportion to its size, and no link is lost.  Shingles
+that are frequent among one task's (``hot`` times) are dealt to salted parts of their
+bucket, so no task gathers those of all texts.
 
 Steps (t = threshold; a set of n shingles needs ceil(t*n) in common with any partner):
 
@@ -15,8 +17,8 @@ Steps (t = threshold; a set of n shingles needs ceil(t*n) in common with any par
 2. Filter: of each set the n - ceil(t*n) + l smallest hashes (l = 5 % of n) are dealt by
    hash, packed.  A linked set has at least as many of them in its partner's part as l is
    for a set of ceil(t*n) elements.
-3. The sets that are left are dealt whole; the elements that occur in two sets come back
-   with their frequencies.  A set with fewer than ceil(t*n) of them has no partner.
+3. The sets that are left are dealt whole; the elements that occur in two sets come back,
+   and their frequencies are counted.  A set with fewer than ceil(t*n) of them has no partner.
 4. Index, pivots, components, and the exact rest, as above.
 
 Edge cases: null and empty texts and texts without words have an empty set, n = 0, and
@@ -72,7 +74,7 @@ def _profiles(k: int):
     return wk.lean(run)
 
 
-def _dealt(k: int, bits: int, keep, set_bytes: int, hash_bytes: int):
+def _dealt(k: int, bits: int, keep, set_bytes: int, hash_bytes: int, least: int):
     """Packed entries (hash, set) of keep(set) for every distinct set of a task."""
 
     def run(batches):
@@ -82,7 +84,14 @@ def _dealt(k: int, bits: int, keep, set_bytes: int, hash_bytes: int):
         def flush():
             h, o = np.concatenate(hashes), np.concatenate(owners)
             h = wk.mix(h)
-            return wk.pack((h >> low).astype(np.int64), 1 << bits, [(h & wide, hash_bytes), (o, set_bytes)])
+            often = wk.hot(h, least)
+            if often.any():
+                # Each of a frequent shingle's sets is shared for sure; two of them stand for the rest.
+                x, y = h[often], o[often]
+                yield wk.pack((x >> low).astype(np.int64), 1 << bits, [(x & wide, hash_bytes), (y, set_bytes)], wk.salt_of(y))
+                stand = np.concatenate(wk.ends_of(x, y))
+                h, o = np.concatenate([h[~often], x[stand]]), np.concatenate([o[~often], y[stand]])
+            yield wk.pack((h >> low).astype(np.int64), 1 << bits, [(h & wide, hash_bytes), (o, set_bytes)])
 
         for batch in batches:
             for _, raw, off in wk.slices([], batch.column(0)):
@@ -95,16 +104,16 @@ def _dealt(k: int, bits: int, keep, set_bytes: int, hash_bytes: int):
                     owners.append(np.full(len(part), d, dtype=np.uint64))
                     held += len(part)
                 if held >= FLUSH:
-                    yield flush()
+                    yield from flush()
                     hashes, owners, held = [], [], 0
         if held:
-            yield flush()
+            yield from flush()
 
     return wk.lean(run)
 
 
-def _shared(table: pa.Table, hash_bytes: int, set_bytes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, set, frequency) of the entries whose hash occurs in two sets at least."""
+def _shared(table: pa.Table, hash_bytes: int, set_bytes: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, set) of the entries whose hash occurs in two sets at least."""
     h, s = wk.unpack(table, [hash_bytes, set_bytes])
     order = np.lexsort((s, h))
     h, s = h[order], s[order]
@@ -116,22 +125,22 @@ def _shared(table: pa.Table, hash_bytes: int, set_bytes: int) -> tuple[np.ndarra
     df = np.diff(np.append(np.flatnonzero(head), len(h)))
     df = np.repeat(df, df)
     many = df >= 2
-    return h[many], s[many], df[many]
+    return h[many], s[many]
 
 
 def _counts(table: pa.Table) -> pa.Table:
-    _, s, _ = _shared(table, 4, 5)
+    _, s = _shared(table, 4, 5)
     s, n = np.unique(s, return_counts=True)
     return pa.table({"s": signed(s), "c": n.astype(np.int64)})
 
 
 def _elements(table: pa.Table) -> pa.Table:
-    h, s, df = _shared(table, 5, 8)
+    h, s = _shared(table, 5, 8)
     b = np.uint64(table.column("bucket")[0].as_py()) if table.num_rows else np.uint64(0)
-    return pa.table({"s": signed(s), "h": signed(h | (b << np.uint64(40))), "df": df.astype(np.int64)})
+    return pa.table({"s": signed(s), "h": signed(h | (b << np.uint64(40)))})
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, scratch: Scratch | None = None) -> DataFrame:
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, hot: int = wk.HOT, scratch: Scratch | None = None) -> DataFrame:
     """(id_col, n_shingles, component_id), a row for each row of docs; see the module for the method and the edge cases."""
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "jaccard")
@@ -147,8 +156,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # both parts for the lesser l of the two; a partner has ceil(t*n) elements at least, hence the bound on the count.
     slack = lambda n: max(1, n // 20)
     bits = wk.bucket_bits(total * (1.05 - percent / 100))
-    dealt = texts.select("text").mapInArrow(_dealt(k, bits, lambda n: n - need(n) + slack(n), 5, 4), wk.PACKED)
-    hits = dealt.groupBy("bucket").applyInArrow(_counts, "s long, c long").groupBy("s").agg(F.sum("c").alias("c"))
+    dealt = texts.select("text").mapInArrow(_dealt(k, bits, lambda n: n - need(n) + slack(n), 5, 4, hot), wk.PACKED)
+    hits = dealt.groupBy("bucket", "salt").applyInArrow(_counts, "s long, c long").groupBy("s").agg(F.sum("c").alias("c"))
     alive = classes.withColumn("s", F.expr(f"d1 & {int(MASK40)}L")).join(hits, "s").where(f"c >= greatest(1, {need_sql('n')} div 20)").select("n", "d1", "d2", "rep")
     alive = scratch.save(alive, "alive")
     scratch.release()
@@ -158,11 +167,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     ids = alive.select(F.col("rep").alias("id"))
     ids = F.broadcast(ids) if left <= 500_000 else ids  # 8 bytes an id; more are joined by a shuffle
     bits = wk.bucket_bits(total)
-    dealt = texts.join(ids, "id", "left_semi").select("text").mapInArrow(_dealt(k, bits, lambda n: n, 8, 5), wk.PACKED)
-    elements = dealt.groupBy("bucket").applyInArrow(_elements, "s long, h long, df long")
-    grouped = elements.groupBy("s").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("r")).select("s", F.col("r.h").alias("r"))
+    dealt = texts.join(ids, "id", "left_semi").select("text").mapInArrow(_dealt(k, bits, lambda n: n, 8, 5, hot), wk.PACKED)
+    # The sets that stand for a frequent shingle come back twice; frequencies are counted over all parts of a bucket.
+    elements = scratch.save(dealt.groupBy("bucket", "salt").applyInArrow(_elements, "s long, h long").distinct(), "elements")
+    grouped = elements.join(elements.groupBy("h").agg(F.count("*").alias("df")), "h").groupBy("s").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("r")).select("s", F.col("r.h").alias("r"))
     sets = alive.select(F.col("d1").alias("s"), "n").distinct().join(grouped, "s").where(f"size(r) >= {need_sql('n')}").select("s", "n", "r")
     sets = scratch.save(sets, "sets")
+    scratch.drop("elements")
     scratch.release()
 
     links = _links(sets, percent, scratch)

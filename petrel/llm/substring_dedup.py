@@ -8,7 +8,8 @@ the anchors hits are extended to whole span windows, the earliest document of ea
 found, and runs of covered windows make the maximal repeats, whose words go.
 
 Hashes travel packed, dealt by hash into buckets whose number grows with the corpus; a
-lost bucket is recomputed from its input alone.  Anchors are a filter without misses
+lost bucket is recomputed from its input alone.  Windows that are frequent among one task's
+(``hot`` times) go to salted parts of their bucket, so no task gathers those of all texts.  Anchors are a filter without misses
 (41 bits and more: a chance hit costs one comparison, no word); windows are compared by
 57 bits and more.
 
@@ -48,7 +49,7 @@ def _inside(first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + first[:-1][row], row
 
 
-def _anchors(block: int, span: int, bits: int):
+def _anchors(block: int, span: int, bits: int, least: int):
     """Packed (hash, flag and key of the document) of every rolling window; the flag marks reference blocks."""
 
     def run(batches):
@@ -56,7 +57,14 @@ def _anchors(block: int, span: int, bits: int):
 
         def flush():
             h, o = (np.concatenate(x) for x in zip(*parts, strict=True))
-            return wk.pack((h >> low).astype(np.int64), 1 << bits, [(h, 4), (o, 5)])
+            often = wk.hot(h, least)
+            if often.any():
+                # Frequent windows count as reference blocks; the first and the last document stand for them.
+                x, y = h[often], o[often] | np.uint64(1 << KEY_BITS)
+                yield wk.pack((x >> low).astype(np.int64), 1 << bits, [(x, 4), (y, 5)], wk.salt_of(y))
+                stand = np.concatenate(wk.ends_of(x, y))
+                h, o = np.concatenate([h[~often], x[stand]]), np.concatenate([o[~often], y[stand]])
+            yield wk.pack((h >> low).astype(np.int64), 1 << bits, [(h, 4), (o, 5)])
 
         for batch in batches:
             for (keys,), raw, off in wk.slices([batch.column(0)], batch.column(1)):
@@ -69,10 +77,10 @@ def _anchors(block: int, span: int, bits: int):
                 parts.append((g[at], key | flag))
                 held += len(at)
                 if held >= FLUSH:
-                    yield flush()
+                    yield from flush()
                     parts, held = [], 0
         if held:
-            yield flush()
+            yield from flush()
 
     return wk.lean(run)
 
@@ -115,7 +123,7 @@ def _member(values: np.ndarray, sets: np.ndarray) -> np.ndarray:
     return np.isin(values, sets) if len(sets) and len(values) else np.zeros(len(values), bool)
 
 
-def _extended(block: int, span: int, anchor_bits: int, bits: int):
+def _extended(block: int, span: int, anchor_bits: int, bits: int, least: int):
     """Packed (hash, id) of every span window that holds an anchor."""
 
     def run(batches):
@@ -123,7 +131,14 @@ def _extended(block: int, span: int, anchor_bits: int, bits: int):
 
         def flush():
             h, o = (np.concatenate(x) for x in zip(*parts, strict=True))
-            return wk.pack((h >> low).astype(np.int64), 1 << bits, [(h, 6), (o, 8)])
+            often = wk.hot(h, least)
+            if often.any():
+                # All but the first document of a frequent window are later ones for sure; the first stands for them.
+                x, y = h[often], o[often]
+                yield wk.pack((x >> low).astype(np.int64), 1 << bits, [(x, 6), (y, 8)], wk.salt_of(y))
+                stand = wk.ends_of(x, y.view(np.int64))[0]
+                h, o = np.concatenate([h[~often], x[stand]]), np.concatenate([o[~often], y[stand]])
+            yield wk.pack((h >> low).astype(np.int64), 1 << bits, [(h, 6), (o, 8)])
 
         for batch in batches:
             for (ids, hits), raw, off in wk.slices([batch.column(0), batch.column(2)], batch.column(1)):
@@ -143,10 +158,10 @@ def _extended(block: int, span: int, anchor_bits: int, bits: int):
                     parts.append((h, np.full(len(h), id_list[r], np.int64).view(np.uint64)))
                     held += len(h)
                 if held >= FLUSH:
-                    yield flush()
+                    yield from flush()
                     parts, held = [], 0
         if held:
-            yield flush()
+            yield from flush()
 
     return wk.lean(run)
 
@@ -221,32 +236,32 @@ def _cut(span: int, bits: int, full: bool):
     return wk.lean(run)
 
 
-def repeated_windows(docs: DataFrame, id_col: str, text_col: str, span: int, scratch: Scratch) -> tuple[DataFrame, int]:
+def repeated_windows(docs: DataFrame, id_col: str, text_col: str, span: int, scratch: Scratch, hot: int = wk.HOT) -> tuple[DataFrame, int]:
     """(id, hashes): of each document the span windows that start in an earlier document, and the bits of a bucket."""
     block = (span + 1) // 2
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).withColumn("k", F.expr(f"pmod(xxhash64(id), {1 << KEY_BITS}L)"))
     chars = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     bits = wk.bucket_bits(chars / 6)
-    dealt = texts.select("k", "text").mapInArrow(_anchors(block, span, bits), wk.PACKED)
-    hits = dealt.groupBy("bucket").applyInArrow(_anchored(bits), "k long, h long")
+    dealt = texts.select("k", "text").mapInArrow(_anchors(block, span, bits, hot), wk.PACKED)
+    hits = dealt.groupBy("bucket", "salt").applyInArrow(_anchored(bits), "k long, h long")
     hits = scratch.save(hits, "anchors")
     del dealt
     scratch.release()
     mine = texts.join(hits.groupBy("k").agg(F.collect_list("h").alias("hits")), "k")
-    dealt = mine.select("id", "text", "hits").mapInArrow(_extended(block, span, bits, bits), wk.PACKED)
-    gone = scratch.save(dealt.groupBy("bucket").applyInArrow(_later, "id long, h long"), "later")
+    dealt = mine.select("id", "text", "hits").mapInArrow(_extended(block, span, bits, bits, hot), wk.PACKED)
+    gone = scratch.save(dealt.groupBy("bucket", "salt").applyInArrow(_later, "id long, h long"), "later")
     del dealt, mine, hits
     scratch.drop("anchors")
     scratch.release()
     return gone.groupBy("id").agg(F.collect_list("h").alias("hashes")), bits
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 13, full: bool = True, carry: list[str] | None = None, scratch: Scratch | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 13, full: bool = True, carry: list[str] | None = None, hot: int = wk.HOT, scratch: Scratch | None = None) -> DataFrame:
     """A row per document: id, n_words, n_removed, and with full the text without the removed words
     (the white space of what is left is kept) and their runs (first, words); else kept_sha256, the digest of
     the kept words joined by a space.  Columns named in carry come along."""
     scratch = scratch or Scratch(docs.sparkSession, "substrings")
-    gone, bits = repeated_windows(docs, id_col, text_col, span, scratch)
+    gone, bits = repeated_windows(docs, id_col, text_col, span, scratch, hot)
     carried = F.struct(*[F.col(c) for c in carry]) if carry else F.struct(F.lit(True).alias("row"))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), carried.alias("carried"))
     mine = texts.join(gone.withColumnRenamed("id", "of"), F.coalesce("id", F.lit(int(NO_ID))) == F.col("of"), "left").select("id", "text", "hashes", "carried")

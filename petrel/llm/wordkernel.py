@@ -132,8 +132,39 @@ def short_hash(w: np.ndarray) -> np.uint64:
 
 # Packed rows: the hashes of many texts travel as a few binary rows, a bucket of the hash space each.
 
-def pack(bucket: np.ndarray, buckets: int, fields: list[tuple[np.ndarray, int]]) -> pa.RecordBatch:
-    """One row (bucket, n, data) per bucket that has entries; data holds each field's low bytes as planes."""
+# An entry's hash chooses its bucket.  A hash that is frequent within one task's batch of entries (``hot``) is one that
+# a large share of all texts may have: its entries go to a salted part of the bucket, another for each batch, and only
+# a few that stand for them go to the bucket's plain part (salt 0), where they meet the other batches' entries.
+
+HOT = 256
+SALTS = 4095
+
+
+def hot(h: np.ndarray, least: int) -> np.ndarray:
+    """Which entries have a hash that occurs at least ``least`` times among them."""
+    low = (h & U(0xFFFFF)).astype(np.int64)
+    often = np.bincount(low, minlength=1 << 20)[low] >= least
+    if often.any():
+        at = np.flatnonzero(often)
+        _, back, n = np.unique(h[at], return_inverse=True, return_counts=True)
+        often[at] = n[back] >= least
+    return often
+
+
+def ends_of(h: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each hash the index of its entry with the least owner and of that with the greatest."""
+    order = np.lexsort((owner, h))
+    first = np.flatnonzero(np.concatenate([[True], h[order][1:] != h[order][:-1]]))
+    return order[first], order[np.append(first[1:], len(order)) - 1]
+
+
+def salt_of(owner: np.ndarray) -> int:
+    """The salt of a batch of entries; a repeated task finds the same."""
+    return 1 + int(mix(owner[:1])[0] % U(SALTS))
+
+
+def pack(bucket: np.ndarray, buckets: int, fields: list[tuple[np.ndarray, int]], salt: int = 0) -> pa.RecordBatch:
+    """One row (bucket, salt, n, data) per bucket that has entries; data holds each field's low bytes as planes."""
     order = np.argsort(bucket.astype(np.uint16) if buckets <= 1 << 16 else bucket, kind="stable")
     counts = np.bincount(bucket, minlength=buckets)
     planes = []
@@ -143,10 +174,10 @@ def pack(bucket: np.ndarray, buckets: int, fields: list[tuple[np.ndarray, int]])
     ends = np.cumsum(counts)
     full = np.flatnonzero(counts)
     data = [b"".join(p[ends[b] - counts[b] : ends[b]].tobytes() for p, _ in planes) for b in full]
-    return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(counts[full].astype(np.int32)), pa.array(data, pa.binary())], names=["bucket", "n", "data"])
+    return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(np.full(len(full), salt, np.int32)), pa.array(counts[full].astype(np.int32)), pa.array(data, pa.binary())], names=["bucket", "salt", "n", "data"])
 
 
-PACKED = "bucket int, n int, data binary"
+PACKED = "bucket int, salt int, n int, data binary"
 
 
 def unpack(table: pa.Table, widths: list[int]) -> list[np.ndarray]:

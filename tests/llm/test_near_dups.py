@@ -68,6 +68,8 @@ def test_jaccard_against_brute_force(spark):
     want = roots(sets, links)
     out = jaccard_components(documents(spark, rows)).collect()
     assert len(out) == len(rows)
+    # With every shingle that a task has three times dealt as a frequent one.
+    assert sorted(map(str, jaccard_components(documents(spark, rows), hot=3).collect())) == sorted(map(str, out))
     for r in out:
         if r.doc_id is not None:
             assert r.n_shingles in {len(s) for s in sets[r.doc_id]}
@@ -114,6 +116,8 @@ def test_substrings_against_brute_force(spark):
     want = brute_repeats(rows)
     df = documents(spark, rows)
     assert sorted(map(tuple, remove_repeats(df, full=False).collect())) == want
+    assert sorted(map(tuple, remove_repeats(df, full=False, hot=3).collect())) == want
+    assert sorted(map(tuple, remove_repeats(df.repartition(6), full=False, hot=2).collect())) == want
     full = remove_repeats(df, full=True, carry=["lang", "source", "id"]).collect()
     assert sorted((r.doc_id, r.n_words, r.n_removed, hashlib.sha256(" ".join(words(r.kept_text)).encode()).hexdigest()) for r in full) == want
     assert all(sum(x.words for x in r.removed) == r.n_removed and r.id == "x" for r in full)
