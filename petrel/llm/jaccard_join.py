@@ -37,7 +37,7 @@ from .components import connected_components
 from .scratch import Scratch
 
 MASK40 = np.uint64((1 << 40) - 1)
-FLUSH = 1_000_000
+FLUSH = 600_000
 
 
 def sets_of(raw: np.ndarray, off: np.ndarray, k: int) -> list[np.ndarray]:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, functions as F
 from . import wordkernel as wk
 from .scratch import Scratch
 
-FLUSH = 1_000_000
+FLUSH = 600_000
 KEY_BITS = 39
 NO_ID = np.iinfo(np.int64).max
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U = np.uint64
-SLICE_BYTES = 1_000_000  # bytes of text hashed at once; a longer text is hashed alone
+SLICE_BYTES = 500_000  # bytes of text hashed at once; a longer text is hashed alone
 
 
 def lean(run: Callable) -> Callable:
