@@ -17,8 +17,8 @@ Steps (t = threshold; a set of n shingles needs ceil(t*n) in common with any par
 2. Filter: of each set the n - ceil(t*n) + l smallest hashes (l = 5 % of n) are dealt by
    hash, packed.  A linked set has at least as many of them in its partner's part as l is
    for a set of ceil(t*n) elements.
-3. The sets that are left are dealt whole; the elements that occur in two sets come back,
-   and their frequencies are counted.  A set with fewer than ceil(t*n) of them has no partner.
+3. The sets that are left are dealt whole; the elements that occur in two sets come back
+   with their frequencies.  A set with fewer than ceil(t*n) of them has no partner.
 4. Index, pivots, components, and the exact rest, as above.
 
 Edge cases: null and empty texts and texts without words have an empty set, n = 0, and
@@ -38,6 +38,7 @@ from .scratch import Scratch
 
 MASK40 = np.uint64((1 << 40) - 1)
 FLUSH = 600_000
+FREQUENT = 1 << 40  # stands for any frequency of a hash whose entries are spread over parts of a bucket
 
 
 def sets_of(raw: np.ndarray, off: np.ndarray, k: int) -> list[np.ndarray]:
@@ -90,7 +91,8 @@ def _dealt(k: int, bits: int, keep, set_bytes: int, hash_bytes: int, least: int)
                 x, y = h[often], o[often]
                 yield wk.pack((x >> low).astype(np.int64), 1 << bits, [(x & wide, hash_bytes), (y, set_bytes)], wk.salt_of(y))
                 stand = np.concatenate(wk.ends_of(x, y))
-                h, o = np.concatenate([h[~often], x[stand]]), np.concatenate([o[~often], y[stand]])
+                yield wk.pack((x[stand] >> low).astype(np.int64), 1 << bits, [(x[stand] & wide, hash_bytes), (y[stand], set_bytes)], stand=True)
+                h, o = h[~often], o[~often]
             yield wk.pack((h >> low).astype(np.int64), 1 << bits, [(h & wide, hash_bytes), (o, set_bytes)])
 
         for batch in batches:
@@ -112,32 +114,39 @@ def _dealt(k: int, bits: int, keep, set_bytes: int, hash_bytes: int, least: int)
     return wk.lean(run)
 
 
-def _shared(table: pa.Table, hash_bytes: int, set_bytes: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, set) of the entries whose hash occurs in two sets at least."""
+def _shared(table: pa.Table, hash_bytes: int, set_bytes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, set, frequency) of the entries whose hash occurs in two sets at least.
+
+    A hash that was frequent in any task has the frequency FREQUENT in every part of its bucket: the plain part
+    tells by the entries that stand for a salted one, which itself returns their sets.
+    """
     h, s = wk.unpack(table, [hash_bytes, set_bytes])
-    order = np.lexsort((s, h))
-    h, s = h[order], s[order]
+    stand = np.repeat(table.column("stand").to_numpy(), table.column("n").to_numpy())
+    order = np.lexsort((stand, s, h))
+    h, s, stand = h[order], s[order], stand[order]
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (s[1:] != s[:-1])
-    h, s = h[new], s[new]
+    h, s, stand = h[new], s[new], stand[new]
     head = np.ones(len(h), bool)
     head[1:] = h[1:] != h[:-1]
-    df = np.diff(np.append(np.flatnonzero(head), len(h)))
-    df = np.repeat(df, df)
-    many = df >= 2
-    return h[many], s[many]
+    at = np.flatnonzero(head)
+    df = np.diff(np.append(at, len(h)))
+    often = np.logical_or.reduceat(stand, at) | (table.column("salt")[0].as_py() > 0) if len(at) else np.zeros(0, bool)
+    df = np.repeat(np.where(often, FREQUENT, df), df)
+    many = (df >= 2) & ~stand
+    return h[many], s[many], df[many]
 
 
 def _counts(table: pa.Table) -> pa.Table:
-    _, s = _shared(table, 4, 5)
+    _, s, _ = _shared(table, 4, 5)
     s, n = np.unique(s, return_counts=True)
     return pa.table({"s": signed(s), "c": n.astype(np.int64)})
 
 
 def _elements(table: pa.Table) -> pa.Table:
-    h, s = _shared(table, 5, 8)
+    h, s, df = _shared(table, 5, 8)
     b = np.uint64(table.column("bucket")[0].as_py()) if table.num_rows else np.uint64(0)
-    return pa.table({"s": signed(s), "h": signed(h | (b << np.uint64(40)))})
+    return pa.table({"s": signed(s), "h": signed(h | (b << np.uint64(40))), "df": df.astype(np.int64)})
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, hot: int = wk.HOT, scratch: Scratch | None = None) -> DataFrame:
@@ -168,12 +177,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     ids = F.broadcast(ids) if left <= 500_000 else ids  # 8 bytes an id; more are joined by a shuffle
     bits = wk.bucket_bits(total)
     dealt = texts.join(ids, "id", "left_semi").select("text").mapInArrow(_dealt(k, bits, lambda n: n, 8, 5, hot), wk.PACKED)
-    # The sets that stand for a frequent shingle come back twice; frequencies are counted over all parts of a bucket.
-    elements = scratch.save(dealt.groupBy("bucket", "salt").applyInArrow(_elements, "s long, h long").distinct(), "elements")
-    grouped = elements.join(elements.groupBy("h").agg(F.count("*").alias("df")), "h").groupBy("s").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("r")).select("s", F.col("r.h").alias("r"))
+    elements = dealt.groupBy("bucket", "salt").applyInArrow(_elements, "s long, h long, df long")
+    grouped = elements.groupBy("s").agg(F.array_sort(F.collect_set(F.struct("df", "h"))).alias("r")).select("s", F.col("r.h").alias("r"))
     sets = alive.select(F.col("d1").alias("s"), "n").distinct().join(grouped, "s").where(f"size(r) >= {need_sql('n')}").select("s", "n", "r")
     sets = scratch.save(sets, "sets")
-    scratch.drop("elements")
     scratch.release()
 
     links = _links(sets, percent, scratch)

@@ -163,8 +163,11 @@ def salt_of(owner: np.ndarray) -> int:
     return 1 + int(mix(owner[:1])[0] % U(SALTS))
 
 
-def pack(bucket: np.ndarray, buckets: int, fields: list[tuple[np.ndarray, int]], salt: int = 0) -> pa.RecordBatch:
-    """One row (bucket, salt, n, data) per bucket that has entries; data holds each field's low bytes as planes."""
+def pack(bucket: np.ndarray, buckets: int, fields: list[tuple[np.ndarray, int]], salt: int = 0, stand: bool = False) -> pa.RecordBatch:
+    """One row (bucket, salt, stand, n, data) per bucket that has entries; data holds each field's low bytes as planes.
+
+    ``stand`` marks entries that stand for those of a salted part.
+    """
     order = np.argsort(bucket.astype(np.uint16) if buckets <= 1 << 16 else bucket, kind="stable")
     counts = np.bincount(bucket, minlength=buckets)
     planes = []
@@ -174,10 +177,10 @@ def pack(bucket: np.ndarray, buckets: int, fields: list[tuple[np.ndarray, int]],
     ends = np.cumsum(counts)
     full = np.flatnonzero(counts)
     data = [b"".join(p[ends[b] - counts[b] : ends[b]].tobytes() for p, _ in planes) for b in full]
-    return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(np.full(len(full), salt, np.int32)), pa.array(counts[full].astype(np.int32)), pa.array(data, pa.binary())], names=["bucket", "salt", "n", "data"])
+    return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(np.full(len(full), salt, np.int32)), pa.array(np.full(len(full), stand)), pa.array(counts[full].astype(np.int32)), pa.array(data, pa.binary())], names=["bucket", "salt", "stand", "n", "data"])
 
 
-PACKED = "bucket int, salt int, n int, data binary"
+PACKED = "bucket int, salt int, stand boolean, n int, data binary"
 
 
 def unpack(table: pa.Table, widths: list[int]) -> list[np.ndarray]:
