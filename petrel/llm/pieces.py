@@ -7,8 +7,9 @@ No piece of the vocabulary crosses the start of a run of white space, so such a
 merges are decided within a segment (white space and the word after it); distinct segments
 are encoded once by the library and remembered, within a bound, by each worker.  Models
 where that does not hold (a piece with white space inside, a character map that is not
-empty, no dummy prefix) are encoded text by text; the library's pieces must then spell
-the normalised text, else the encoder stops.
+empty, no dummy prefix) are encoded text by text.  Either way every text is normalised and
+its pieces are projected, also where only digests are asked for: the pieces must spell the
+normalised text byte for byte, else the encoder stops.
 
 Edge cases: null and empty texts have no pieces, only the end id; ids and other columns
 pass through; very long texts are encoded whole.
@@ -132,7 +133,8 @@ class PieceEncoder:
         spec = proto.normalizer_spec
         self.lib = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.normalize = Normalizer(spec.precompiled_charsmap, spec.add_dummy_prefix, spec.remove_extra_whitespaces, spec.escape_whitespaces)
-        self.bytes_of = [1 if p.type == 6 else len(p.piece.encode()) for p in proto.pieces]
+        self.spelled = [bytes([int(p.piece[3:5], 16)]) if p.type == 6 else p.piece.encode() for p in proto.pieces]
+        self.bytes_of = np.array([len(x) for x in self.spelled], np.int64)
         self.unknown, self.end = self.lib.unk_id(), self.lib.eos_id()
         inner = any(SPACE in p.piece.lstrip(SPACE) for p in proto.pieces)
         fallback = any(p.type == 6 for p in proto.pieces)
@@ -178,14 +180,21 @@ class PieceEncoder:
     def spans(self, text: str, ids: list[int]) -> tuple[np.ndarray, np.ndarray]:
         """First and last-plus-one source byte of each piece; a piece of white space that stands for nothing is empty."""
         norm, source = self.normalize(text)
-        if self.unknown in ids:
-            sizes = [1 if self.bytes_of[i] == 1 and p.startswith("<0x") else len(p.encode()) for i, p in zip(ids, self.lib.encode(text, out_type=str), strict=True)]
-        else:
-            sizes = [self.bytes_of[i] for i in ids]
-        ends = np.cumsum(np.array(sizes, np.int64)) if ids else np.zeros(0, np.int64)
-        if int(ends[-1] if len(ends) else 0) != len(norm):
-            raise ValueError(f"pieces spell {int(ends[-1]) if len(ends) else 0} bytes, the normalised text has {len(norm)}")
-        return source[ends - sizes] if ids else ends, source[ends]
+        at = np.array(ids, np.int64)
+        spelled, sizes = [self.spelled[i] for i in ids], self.bytes_of[at]
+        if (at == self.unknown).any():
+            spelled = [p.encode() if i == self.unknown else x for x, i, p in zip(spelled, ids, self.lib.encode(text, out_type=str), strict=True)]
+            sizes = np.array([len(x) for x in spelled], np.int64)
+        if (said := b"".join(spelled)) != norm:
+            raise ValueError(f"pieces spell {len(said)} bytes that are not the {len(norm)} of the normalised text")
+        ends = np.cumsum(sizes)
+        return source[ends - sizes], source[ends]
+
+    def pieces(self, texts: list[str]):
+        """(ids, their decimal string, first and last-plus-one source bytes, decoded text) of each text, the end id in the decoding only."""
+        for text, (ids, s) in zip(texts, self.encode(texts), strict=True):
+            begin, end = self.spans(text, ids)
+            yield ids, s, begin, end, self.lib.decode([*ids, self.end])
 
 
 _ENCODERS: dict[str, PieceEncoder] = {}
@@ -214,13 +223,12 @@ def _digests(model):
     def run(batches):
         enc = encoder(model.value)
         for keys, texts in _chunks(batches):
-            coded = enc.encode(texts)
             tail = str(enc.end)
             n, ids, decoded = [], [], []
-            for i, s in coded:
+            for i, s, _, _, said in enc.pieces(texts):
                 n.append(len(i) + 1)
                 ids.append(hashlib.sha256(f"{s} {tail}".encode() if s else tail.encode()).hexdigest())
-                decoded.append(hashlib.sha256(enc.lib.decode([*i, enc.end]).encode()).hexdigest())
+                decoded.append(hashlib.sha256(said.encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([keys, pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
         enc.known.clear()
 
@@ -233,9 +241,13 @@ def _pieces(model):
     def run(batches):
         enc = encoder(model.value)
         for keys, texts in _chunks(batches, 200_000):
-            coded = [i for i, _ in enc.encode(texts)]
-            spans = [enc.spans(t, i) for t, i in zip(texts, coded, strict=True)]
-            yield pa.RecordBatch.from_arrays([keys, pa.array([[*i, enc.end] for i in coded], kind), pa.array([a.tolist() for a, _ in spans], kind), pa.array([b.tolist() for _, b in spans], kind), pa.array([enc.lib.decode([*i, enc.end]) for i in coded], pa.string())], names=["id", "ids", "begin", "end", "decoded"])
+            ids, begin, end, decoded = [], [], [], []
+            for i, _, a, b, said in enc.pieces(texts):
+                ids.append([*i, enc.end])
+                begin.append(a.tolist())
+                end.append(b.tolist())
+                decoded.append(said)
+            yield pa.RecordBatch.from_arrays([keys, pa.array(ids, kind), pa.array(begin, kind), pa.array(end, kind), pa.array(decoded, pa.string())], names=["id", "ids", "begin", "end", "decoded"])
         enc.known.clear()
 
     return lean(run)
@@ -243,7 +255,7 @@ def _pieces(model):
 
 def encode_texts(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
     """A row per row of docs: ids with the end id, the source byte spans [begin, end) of the pieces before it and the
-    decoded text; with ``digests`` n_tokens, ids_sha256 and decoded_sha256 of the same instead."""
+    decoded text; with ``digests`` n_tokens, ids_sha256 and decoded_sha256 of the same instead, the spans computed and checked."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a vocabulary file, half a megabyte
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))

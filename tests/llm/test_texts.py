@@ -158,6 +158,28 @@ def test_spans_are_the_source():
     assert "".join(surfaces) == text and [p.replace("▁", " ") for p in enc.lib.encode(text, out_type=str)][1:] == surfaces[1:]
 
 
+@pytest.mark.parametrize("run", [pieces._digests, pieces._pieces])
+def test_every_text_is_projected(run, monkeypatch):
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    model, seen = SimpleNamespace(value=piece_model()), []
+    monkeypatch.setattr(pieces, "_ENCODERS", {})
+    enc = pieces.encoder(model.value)
+    spans = enc.spans
+    monkeypatch.setattr(enc, "spans", lambda text, ids: seen.append(text) or spans(text, ids))
+    texts = [*TEXTS, None]
+    batch = pa.record_batch([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], names=["id", "text"])
+    assert sum(b.num_rows for b in run(model)([batch])) == len(texts) and seen == [t or "" for t in texts]
+    # Pieces of as many bytes that spell another word.
+    word, other = "hello", "jello"
+    enc.learn([[word, other]])
+    enc.known[word] = enc.known[other]
+    with pytest.raises(ValueError, match="spell"):
+        list(run(model)([pa.record_batch([pa.array([1], pa.int64()), pa.array([f"say {word}"])], names=["id", "text"])]))
+
+
 @pytest.mark.parametrize("rule", ["nmt_nfkc", "nfkc_cf", "identity"])
 @pytest.mark.parametrize("squeeze", [True, False])
 def test_normaliser_equals_the_library(rule, squeeze):
