@@ -21,6 +21,20 @@ def key_order(df: DataFrame) -> list[Column]:
     return [c for _, c in sorted(keys, key=lambda x: x[0])]
 
 
+def key_ranked(df: DataFrame, path: str, name: str = "key_rank") -> DataFrame:
+    """Every row of df with its rank from 1 in key order.
+
+    The sorted rows are stored in the folder ``path``, each partition a range of keys; ranks are places inside
+    partitions, shifted by the rows of earlier ones, so no task sees the whole table.
+    """
+    df.orderBy(*key_order(df)).withColumn("_at", F.monotonically_increasing_id()).write.parquet(path, mode="overwrite")
+    rows = df.sparkSession.read.parquet(path).withColumn("_part", F.shiftright("_at", 33))
+    before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    shift = rows.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(before, F.lit(0)).alias("_shift"))
+    place = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return rows.join(F.broadcast(shift), "_part").withColumn(name, F.col("_shift") + place + 1).drop("_part", "_at", "_shift")
+
+
 def sort_order(raw: Column) -> Column:
     """A column-name entry's sort byte: 0 none, n the nth key, the high bit a descending one (negative)."""
     byte = raw.bitwiseAND(F.lit(0xFF))

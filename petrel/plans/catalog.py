@@ -103,6 +103,12 @@ def dsj_key_order(spark, sf_dir):
     return rows.orderBy(*tables.key_order(rows)).limit(100).select(F.col("ORDERKEY").alias("orderkey"))
 
 
+def dsj_key_rank(spark, sf_dir):
+    """The whole table in key order: every row with its rank."""
+    rows = dsj.read_dsj(spark, orders_dsj(spark, sf_dir))
+    return tables.key_ranked(rows, fixtures.folder(spark, "dsj-ranked")).select("key_rank", F.col("ORDERKEY").alias("orderkey"))
+
+
 def container_kinds(spark, sf_dir):
     """First bytes to container, on every order key as four bytes behind a chosen pair."""
     o = _t(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") % 5).alias("k"))
@@ -411,6 +417,7 @@ QUERIES = {
     "dsj_tables": (dsj_tables, "SELECT 'PLAIN' AS container, false AS nested, '1.1.0' AS version, 'IG.ORDERS' AS item_group_oid, 'ORDERS' AS name, count(*) AS records, 4 AS column_count FROM orders"),
     "dsj_columns": (dsj_columns, "SELECT * FROM (VALUES (0, 'ORDERKEY', 'orderkey', 'integer', NULL, 1), (1, 'STATUS', 'status', 'string', NULL, -1), (2, 'PRICE', 'price', 'double', NULL, -1), (3, 'ODATE', 'odate', 'date', 'integer', -1)) t(index, name, label, data_type, target_type, key_sequence)"),
     "dsj_key_order": (dsj_key_order, "SELECT o_orderkey::DOUBLE AS orderkey FROM orders ORDER BY o_orderkey LIMIT 100"),
+    "dsj_key_rank": (dsj_key_rank, "SELECT row_number() OVER (ORDER BY o_orderkey) AS key_rank, o_orderkey::DOUBLE AS orderkey FROM orders"),
     "container_kinds": (container_kinds, "SELECT CASE o_orderkey % 5 WHEN 0 THEN 'GZIP' WHEN 1 THEN 'ZLIB' WHEN 2 THEN 'PLAIN' ELSE 'UNKNOWN' END AS container, count(*) AS n FROM orders GROUP BY 1"),
     "xpt_scan_lineitem": (xpt_scan_lineitem, "SELECT l_orderkey::DOUBLE AS l_orderkey, l_linenumber::DOUBLE AS l_linenumber, l_quantity, l_extendedprice, l_discount, l_returnflag FROM lineitem"),
     "xpt_pruned": (xpt_pruned, "SELECT l_returnflag AS flag, sum(l_quantity) AS qty, count(*) AS n FROM lineitem GROUP BY 1"),

@@ -177,3 +177,13 @@ def test_folder_of_one_layout(spark, tmp_path):
     put(tmp_path / "c.json", head([("OTHER", "string")], 0), [])
     with pytest.raises(ValueError, match="differ"):
         dsj.read_dsj(spark, str(tmp_path))
+
+
+def test_key_rank_is_whole(spark, tmp_path):
+    rows = [(i % 7, (i * 389) % 1000, i) for i in range(1000)]
+    df = spark.createDataFrame(rows, "a long, b long, c long").repartition(5)
+    df = df.withMetadata("b", {"keySequence": 2}).withMetadata("a", {"sortOrder": -1})
+    out = {r.key_rank: (r.a, r.b, r.c) for r in tables.key_ranked(df, str(tmp_path / "ranked")).collect()}
+    want = sorted(rows, key=lambda r: (-r[0], r[1]))
+    assert [out[i + 1] for i in range(len(want))] == want and len(out) == len(rows)
+    assert tables.key_ranked(df.limit(0), str(tmp_path / "none")).count() == 0
