@@ -151,17 +151,18 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, penalty: float) -> np.ndarr
     timed[place] = scores
     best = timed[: n_at[0]].copy()
     k = scores.shape[1]
-    own = np.arange(k, dtype=np.uint8)[None, :]
-    back = np.zeros(scores.shape, np.uint8)
+    kind = np.min_scalar_type(k - 1)  # a byte a label up to 256 languages
+    own = np.arange(k, dtype=kind)[None, :]
+    back = np.zeros(scores.shape, kind)
     for step in range(1, len(n_at)):
         a, lo = n_at[step], base[step]
         v = best[:a]
         top = v.max(axis=1, keepdims=True)
         change = v < top - penalty
-        back[lo : lo + a] = np.where(change, v.argmax(axis=1).astype(np.uint8)[:, None], own)
+        back[lo : lo + a] = np.where(change, v.argmax(axis=1).astype(kind)[:, None], own)
         best[:a] = timed[lo : lo + a] + np.where(change, top - penalty, v)
     now = best.argmax(axis=1)
-    label = np.zeros(len(scores), np.uint8)
+    label = np.zeros(len(scores), kind)
     for step in range(len(n_at) - 1, -1, -1):
         a, lo = n_at[step], base[step]
         label[lo : lo + a] = now[:a]

@@ -109,6 +109,14 @@ def test_viterbi_against_plain():
             assert cost(list(g)) == pytest.approx(best, abs=1e-4)
 
 
+@pytest.mark.parametrize("k", [256, 257, 300])
+def test_viterbi_of_many_languages(k):
+    path = np.array([k - 1, k - 1, 0, 0, 255, 255, k - 1])
+    scores = np.zeros((7, k), np.float32)
+    scores[np.arange(7), path] = 9
+    assert language_id.viterbi(scores, np.array([4, 3]), 2.0).tolist() == path.tolist()
+
+
 def test_held_out_accuracy(spark):
     import os
 
