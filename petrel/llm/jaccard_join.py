@@ -1,8 +1,9 @@
 """Exact Jaccard join of word-shingle sets, with links summed up as components.
 
 Method: set-relation skipping.  A prefix index orders each set's shingles by document
-frequency, lists carry each entry's position and set size, and blocks of a list that the
-size or position bound rules out are skipped.  Sets that are highly similar to a pivot
+frequency, lists carry each entry's position and set size, and are blocked by set size
+only: blocks that the size bound rules out are skipped, and the position bound filters
+the pairs of the others one by one.  Sets that are highly similar to a pivot
 take over the pivot's answers: the pivot is verified first, its component is inherited,
 and by the triangle inequality of the Jaccard distance a set's distance to the pivot
 rules out partners without looking at them.  Only pairs of lists that still join two
