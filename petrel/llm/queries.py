@@ -13,7 +13,7 @@ from .kd_shards import kd_shards
 from .mixing import mix_sources
 from .oracles import ORACLES
 from .scratch import read_table
-from .simhash import fingerprint_documents
+from .simhash import digests as simhash_digests
 from .substring_dedup import remove_repeats
 
 
@@ -57,7 +57,7 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprint_documents(read_table(spark, sf_dir, "documents"))
+    return simhash_digests(read_table(spark, sf_dir, "documents"))
 
 
 def op8_hyperplane_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
