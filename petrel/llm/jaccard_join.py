@@ -1,12 +1,14 @@
 """Exact Jaccard join of word-shingle sets, with links summed up as components.
 
 Method: set-relation skipping.  A prefix index orders each set's shingles by document
-frequency, lists carry each entry's position and set size, and are blocked by set size
-only: blocks that the size bound rules out are skipped, and the position bound filters
-the pairs of the others one by one.  Sets that are highly similar to a pivot
-take over the pivot's answers: the pivot is verified first, its component is inherited,
-and by the triangle inequality of the Jaccard distance a set's distance to the pivot
-rules out partners without looking at them.  Only pairs of lists that still join two
+frequency; lists carry each entry's position and set size and are cut into blocks by the
+sizes that an entry's position leaves open for its partner, so blocks that position, size
+or unshared elements rule out are skipped without looking at their pairs; blocks of a hot
+list are cut into tiles.  Sets that are highly similar to a pivot take over the pivot's
+answers: the pivot is verified first, its component is inherited, by the triangle inequality
+of the Jaccard distance a set's distance to the pivot rules out partners without looking at
+them, and where two sets have one pivot their overlap is derived from the pivot's answers
+and the elements in which they differ from it.  Only pairs of lists that still join two
 different components are verified at the end, so a group of thousands of near copies
 costs a number of comparisons in proportion to its size, and no link is lost.  Shingles
 that are frequent among one task's (``hot`` times) are dealt to salted parts of their
@@ -217,7 +219,57 @@ def _moved(state: DataFrame, done: DataFrame, roots: DataFrame) -> DataFrame:
     return both.select("s", F.coalesce("root", "comp").alias("comp"), F.expr(f"CASE WHEN {new} THEN pv1 ELSE pv END").alias("pv"), F.expr(f"CASE WHEN {new} THEN dist1 ELSE dist END").alias("dist"))
 
 
-def _links(sets: DataFrame, percent: int, scratch: Scratch, rounds: int = 4) -> DataFrame:
+def _derived(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """pairs (a, b, pv) of sets with one pivot, and whether they link, from the pivot's answers and the differences to it.
+
+    |a & b| = |pv| - |pv - a| - |pv - b| + |(pv - a) & (pv - b)| + |(a - pv) & (b - pv)|, so only the elements in which a
+    set differs from its pivot are looked at; those are computed once a set, not once a pair.
+    """
+    own = pairs.select(F.explode(F.array("a", "b")).alias("s"), "pv").distinct()
+    mine = sets.select("s", "n", "r")
+    pivots = sets.select(F.col("s").alias("pv"), F.col("r").alias("rp"))
+    apart = own.join(mine, "s").join(pivots, "pv").select("s", "pv", "n", F.size("rp").cast("long").alias("np"), F.array_except("rp", "r").alias("less"), F.array_except("r", "rp").alias("more"))
+    left, right = (apart.select(F.col("s").alias(x), "pv", "np", *(F.col(c).alias(f"{c}_{x}") for c in ("n", "less", "more"))) for x in "ab")
+    both = pairs.join(left, ["a", "pv"]).join(right.drop("np"), ["b", "pv"])
+    common = F.col("np") - F.size("less_a") - F.size("less_b") + F.size(F.array_intersect("less_a", "less_b")) + F.size(F.array_intersect("more_a", "more_b"))
+    return both.select("a", "b", "n_a", "n_b", common.alias("o")).select("a", "b", F.expr(f"100 * o >= {percent} * (n_a + n_b - o)").alias("link"))
+
+
+STEPS = 4  # blocks of sizes for each factor 100 / percent
+
+
+def _candidates(now: DataFrame, percent: int, tile: int) -> DataFrame:
+    """Pairs (x_, y_) of entries of one list, x of the larger set, of blocks that neither size nor position rules out.
+
+    Sets x and y that link have 180 * min(n_x - p_x, n_y - p_y) >= 80 * (n_x + n_y) (for 80 percent), so an entry's
+    position bounds its partner's size from above.  Lists are blocked by the sizes of both sides: an entry is put only
+    into the blocks that its bound leaves open, and blocks that one side's positions rule out are never met.  A second
+    bound is the unshared elements': 180 * (u_x + u_y) <= 20 * (n_x + n_y), so of two sets one at least has an excess
+    180 * u - 20 * n of at most nothing, and lists are blocked by that, too.  Blocks of over ``tile`` entries are cut
+    into tiles of the larger sets, with a copy of the smaller ones for each.
+    """
+    columns = ["s", "n", "u", "p", "comp", "pv", "dist", *(f"k{j}" for j in range(SKETCH))]
+
+    def block(size: str) -> str:
+        return f"bigint(floor(ln(double({size})) / ln({100 / percent}D) * {STEPS} + 1e-9))"
+
+    # The largest partner by the position, and whether the set has too many unshared elements for another such set.
+    most = F.expr(f"least({100 + percent} * (n - p) div {percent} - n, 100 * n div {percent})")
+    rows = now.withColumn("most", most).where(f"100 * most >= {percent} * n").withColumn("e", F.expr(f"{100 + percent} * u > {100 - percent} * n"))
+    own = F.expr(block("n"))
+    small = f"greatest(1, ceil({percent} * n / 100D))"
+    kinds = F.expr("CASE WHEN e THEN array(false) ELSE array(false, true) END")  # the kinds of partner: both cannot have the excess
+    x = rows.select("h", own.alias("bx"), F.explode(F.expr(f"sequence({block(small)}, {block('least(n, most)')})")).alias("by"), F.col("e").alias("ex"), kinds.alias("ey"), *(F.col(c).alias(f"x_{c}") for c in columns)).withColumn("ey", F.explode("ey"))
+    y = rows.where("most >= n").select("h", F.explode(F.expr(f"sequence({block('n')}, {block('most')})")).alias("bx"), own.alias("by"), kinds.alias("ex"), F.col("e").alias("ey"), *(F.col(c).alias(f"y_{c}") for c in columns)).withColumn("ex", F.explode("ex"))
+    key = ["h", "bx", "by", "ex", "ey"]
+    full = x.groupBy(*key).agg(F.count("*").alias("m")).where(f"m > {tile}").select(*key, F.expr(f"cast(1 + m div {tile} AS int)").alias("tiles"))
+    one = F.coalesce("tiles", F.lit(1))
+    x = x.join(full, key, "left").withColumn("tile", F.pmod(F.hash("x_s"), one)).drop("tiles")
+    y = y.join(full, key, "left").withColumn("tile", F.explode(F.sequence(F.lit(0), one - 1))).drop("tiles")
+    return x.join(y, [*key, "tile"])
+
+
+def _links(sets: DataFrame, percent: int, scratch: Scratch, rounds: int = 4, tile: int = 2048) -> DataFrame:
     """Links (a, b) between sets: all that are needed for the components, each verified."""
     far = 1 - percent / 100
     need = f"ceil({percent} * n / 100D)"
@@ -248,18 +300,14 @@ def _links(sets: DataFrame, percent: int, scratch: Scratch, rounds: int = 4) ->
         state = scratch.save(_moved(state, done, roots), f"state-{i + 1}")
         if not found:
             break
-    # The exact rest: entries of lists that still join different components, in blocks by size.
+    # The exact rest: entries of lists that still join different components, in blocks.
     now = entries.join(state, "s")
     lists = now.groupBy("h").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("h")
     now = now.join(lists, "h")
     now = scratch.save(now.join(now.select("s").distinct().join(sets, "s").select("s", *_sketches("r")), "s"), "open")
-    now = now.withColumn("block", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent)) + 1e-9))
-    columns = ["s", "n", "u", "p", "comp", "pv", "dist", *(f"k{j}" for j in range(SKETCH))]
-    # x is the larger set of a pair, so y is of its block or of the one below.
-    x = now.select("h", "block", *(F.col(c).alias(f"x_{c}") for c in columns))
-    y = now.select("h", F.explode(F.array("block", F.col("block") + 1)).alias("block"), *(F.col(c).alias(f"y_{c}") for c in columns))
+    both = _candidates(now, percent, tile)
     apart = " + ".join(f"bit_count(x_k{j} ^ y_k{j})" for j in range(SKETCH))
-    pairs = x.join(y, ["h", "block"]).where(
+    pairs = both.where(
         "(x_n > y_n OR x_n = y_n AND x_s > y_s) AND x_comp <> y_comp"
         f" AND 100 * y_n >= {percent} * x_n"
         f" AND {100 + percent} * least(x_n - x_p, y_n - y_p) >= {percent} * (x_n + y_n)"
@@ -267,8 +315,9 @@ def _links(sets: DataFrame, percent: int, scratch: Scratch, rounds: int = 4) ->
         # Unshared elements and the bits in which the sketches differ bound the symmetric difference from below.
         f" AND {100 + percent} * (x_u + y_u + {apart}) <= {100 - percent} * (x_n + y_n)"
     )
-    pairs = pairs.select(F.col("x_s").alias("a"), F.col("y_s").alias("b")).distinct()
-    rest = scratch.save(_verified(pairs, sets, percent), "rest").where("link").select("a", "b")
+    pairs = scratch.save(pairs.select(F.col("x_s").alias("a"), F.col("y_s").alias("b"), F.when(F.col("x_pv") == F.col("y_pv"), F.col("x_pv")).alias("pv")).distinct(), "pairs")
+    alone = _verified(pairs.where("pv IS NULL"), sets, percent).select("a", "b", "link")
+    rest = scratch.save(alone.union(_derived(pairs.where("pv IS NOT NULL"), sets, percent)), "rest").where("link").select("a", "b")
     for part in links:
         rest = rest.union(part)
     return rest
