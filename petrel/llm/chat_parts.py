@@ -35,6 +35,7 @@ _OPEN = re.compile(r"<(\\*)\|")
 _CLOSED = re.compile(r"<\\(\\*)\|")
 _SEGMENT = re.compile(r"<\|im_start\|>(.*?)\n(.*)<\|im_end\|>\n", re.S)
 _PLACE = re.compile(r"<\|(image|audio|document):(\d+)\|>")
+_STRETCH = re.compile(r"<\|(?:image|audio|document):\d+\|>")
 PART_TYPE = "array<struct<type: string, text: string, ref: string, width: int, height: int, seconds: double, pages: int>>"
 
 
@@ -62,20 +63,31 @@ class PartVisitor:
         self.seen = 0
 
     def visit(self, parts: list[dict]) -> tuple[str, list[dict]]:
-        out, attached = [], []
+        out, attached, texts = [], [], []
+
+        def close() -> None:
+            # Neighbouring texts are escaped as one: a control string may begin in one and end in the next.
+            if texts:
+                out.append(escape("".join(texts)))
+                texts.clear()
+
         for part in parts:
             kind = part.get("type") or "text"
             handler = getattr(self, f"visit_{kind}", None)
             if handler is None:
                 raise ValueError(f"unknown content part {kind!r}")
             text, tokens = handler(part)
+            if tokens is None:
+                texts.append(text)
+                continue
+            close()
             out.append(text)
-            if tokens is not None:
-                attached.append({"number": self.seen - 1, "type": kind, "ref": part.get("ref"), "tokens": tokens})
+            attached.append({"number": self.seen - 1, "type": kind, "ref": part.get("ref"), "tokens": tokens})
+        close()
         return "".join(out), attached
 
     def visit_text(self, part: dict) -> tuple[str, int | None]:
-        return escape(part.get("text") or ""), None
+        return part.get("text") or "", None
 
     def visit_image(self, part: dict) -> tuple[str, int | None]:
         return self._place("image"), math.ceil((part.get("width") or 0) / self.patch) * math.ceil((part.get("height") or 0) / self.patch)
@@ -97,12 +109,17 @@ def render(role: str | None, content: str) -> tuple[str, int, int]:
     return f"{head}{content}{END}\n", len(head), len(head) + len(content)
 
 
+def plain(content: str) -> str:
+    """The text of a formatted content, its placeholders left out; each stretch between them is unescaped by itself."""
+    return "".join(unescape(x) for x in _STRETCH.split(content))
+
+
 def parse(segment: str) -> tuple[str, str, list[tuple[str, int]]]:
     """Role, text without placeholders, and the placeholders of a segment."""
     m = _SEGMENT.fullmatch(segment)
     if m is None:
         raise ValueError("not a formatted turn")
-    return unescape_role(m[1]), unescape(_PLACE.sub("", m[2])), [(k, int(n)) for k, n in _PLACE.findall(m[2])]
+    return unescape_role(m[1]), plain(m[2]), [(k, int(n)) for k, n in _PLACE.findall(m[2])]
 
 
 _ATTACHED = pa.list_(pa.struct([("number", pa.int64()), ("type", pa.string()), ("ref", pa.string()), ("tokens", pa.int64())]))
@@ -151,11 +168,13 @@ def _read_back(batches):
     kind = None
     for batch in batches:
         kind, out = batch.column(0).type, []
-        for conv, at, segment, a, b, attached in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for conv, seq, at, segment, a, b, attached in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if state is None or conv != state["conv"]:
                 if state is not None:
                     out.append(close(state))
                 state = {"conv": conv, "n": 0, "turns": hashlib.sha256(), "loss": hashlib.sha256(), "loss_chars": 0, "chars": 0, "tokens": 0}
+            if seq != state["n"] or at != state["chars"]:
+                raise ValueError("turns of a conversation are missing or out of order")
             role, text, places = parse(segment)
             if [p[1] for p in places] != [x["number"] for x in attached]:
                 raise ValueError("placeholders and attachments differ")
@@ -164,7 +183,7 @@ def _read_back(batches):
             state["chars"] += len(segment)
             state["tokens"] += sum(x["tokens"] for x in attached)
             if a is not None:
-                learned = unescape(_PLACE.sub("", segment[a - at : b - at]))
+                learned = plain(segment[a - at : b - at])
                 state["loss"].update(learned.encode())
                 state["loss_chars"] += len(learned)
         if out:
@@ -173,10 +192,15 @@ def _read_back(batches):
         yield batch_of([close(state)], kind)
 
 
-def read_back(formatted: DataFrame) -> DataFrame:
-    """A row per conversation, from the output of ``format_conversations`` alone: what its turns and its loss mask say."""
+def read_back(formatted: DataFrame, in_order: bool = False) -> DataFrame:
+    """A row per conversation, from the output of ``format_conversations`` alone: what its turns and its loss mask say.
+
+    Rows are dealt by conversation and sorted, unless they come ``in_order``, straight from ``format_conversations``;
+    turns that are missing or out of order are an error.
+    """
     kind = formatted.schema["conv"].dataType.simpleString()
-    rows = formatted.select("conv", "at", "segment", "loss_begin", "loss_end", "attachments")
+    rows = formatted if in_order else formatted.repartition("conv").sortWithinPartitions("conv", "seq")
+    rows = rows.select("conv", "seq", "at", "segment", "loss_begin", "loss_end", "attachments")
     return rows.mapInArrow(_read_back, f"conv {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, attachment_tokens long")
 
 

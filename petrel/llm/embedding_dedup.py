@@ -29,8 +29,12 @@ from .scratch import Scratch
 
 
 def plan(rows: int, threshold: float, miss: float = 0.003) -> tuple[int, int]:
-    """(bits, tables): buckets of some 64 rows, and a chance to miss a pair at the threshold of at most ``miss``."""
-    bits = min(30, max(8, math.ceil(math.log2(max(1, rows) / 64))))
+    """(bits, tables): buckets of some 512 rows, and a chance to miss a pair at the threshold of at most ``miss``.
+
+    Larger buckets ask for fewer bits and so for fewer tables, each of which moves the vectors once; the cosines of
+    a bucket are one product of matrices.
+    """
+    bits = min(30, max(4, math.ceil(math.log2(max(1, rows) / 512))))
     p = (1 - math.acos(threshold) / math.pi) ** bits
     return bits, math.ceil(math.log(miss) / math.log(1 - p))
 

@@ -11,7 +11,7 @@ them, and where two sets have one pivot their overlap is derived from the pivot'
 and the elements in which they differ from it.  Only pairs of lists that still join two
 different components are verified at the end, so a group of thousands of near copies
 costs a number of comparisons in proportion to its size, and no link is lost.  Shingles
-that are frequent among one task's (``hot`` times) are dealt to salted parts of their
+that are frequent among one task's (``hot`` times, by default as the corpus' size asks) are dealt to salted parts of their
 bucket, so no task gathers those of all texts.
 
 Steps (t = threshold; a set of n shingles needs ceil(t*n) in common with any partner):
@@ -40,14 +40,12 @@ from .components import connected_components
 from .scratch import Scratch
 
 MASK40 = np.uint64((1 << 40) - 1)
-FLUSH = 600_000
 FREQUENT = 1 << 40  # stands for any frequency of a hash whose entries are spread over parts of a bucket
 
 
 def sets_of(raw: np.ndarray, off: np.ndarray, k: int) -> list[np.ndarray]:
     """The distinct shingles of each row, sorted."""
-    start, end, first = wk.words(raw, off)
-    w = wk.word_hashes(raw, start, end, wk.LOWER)
+    _, _, first, w = wk.hashed_words(raw, off, wk.LOWER)
     g = wk.window_hashes(w, k)
     out = []
     for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
@@ -78,12 +76,11 @@ def _profiles(k: int):
     return wk.lean(run)
 
 
-def _dealt(k: int, bits: int, keep, set_bytes: int, hash_bytes: int, least: int):
+def _dealt(k: int, deal: wk.Deal, keep, set_bytes: int, hash_bytes: int, least: int):
     """Packed entries (hash, set) of keep(set) for every distinct set of a task."""
 
     def run(batches):
         hashes, owners, held, seen = [], [], 0, set()
-        low, wide = np.uint64(64 - bits), np.uint64((1 << (8 * hash_bytes)) - 1)
 
         def flush():
             h, o = np.concatenate(hashes), np.concatenate(owners)
@@ -92,11 +89,11 @@ def _dealt(k: int, bits: int, keep, set_bytes: int, hash_bytes: int, least: int)
             if often.any():
                 # Each of a frequent shingle's sets is shared for sure; two of them stand for the rest.
                 x, y = h[often], o[often]
-                yield wk.pack((x >> low).astype(np.int64), 1 << bits, [(x & wide, hash_bytes), (y, set_bytes)], wk.salt_of(y))
+                yield deal.pack(x, [(x, hash_bytes), (y, set_bytes)], wk.salt_of(y))
                 stand = np.concatenate(wk.ends_of(x, y))
-                yield wk.pack((x[stand] >> low).astype(np.int64), 1 << bits, [(x[stand] & wide, hash_bytes), (y[stand], set_bytes)], stand=True)
+                yield deal.pack(x[stand], [(x[stand], hash_bytes), (y[stand], set_bytes)], stand=True)
                 h, o = h[~often], o[~often]
-            yield wk.pack((h >> low).astype(np.int64), 1 << bits, [(h & wide, hash_bytes), (o, set_bytes)])
+            yield deal.pack(h, [(h, hash_bytes), (o, set_bytes)])
 
         for batch in batches:
             for _, raw, off in wk.slices([], batch.column(0)):
@@ -108,7 +105,7 @@ def _dealt(k: int, bits: int, keep, set_bytes: int, hash_bytes: int, least: int)
                     hashes.append(part)
                     owners.append(np.full(len(part), d, dtype=np.uint64))
                     held += len(part)
-                if held >= FLUSH:
+                if held >= wk.FLUSH:
                     yield from flush()
                     hashes, owners, held = [], [], 0
         if held:
@@ -152,7 +149,7 @@ def _elements(table: pa.Table) -> pa.Table:
     return pa.table({"s": signed(s), "h": signed(h | (b << np.uint64(40))), "df": df.astype(np.int64)})
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, hot: int = wk.HOT, scratch: Scratch | None = None) -> DataFrame:
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, hot: int | None = None, coarse: int = wk.COARSE, scratch: Scratch | None = None) -> DataFrame:
     """(id_col, n_shingles, component_id), a row for each row of docs; see the module for the method and the edge cases."""
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "jaccard")
@@ -167,9 +164,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # 2: which sets have enough of their smallest hashes in other sets.  The first l common elements of a pair lie in
     # both parts for the lesser l of the two; a partner has ceil(t*n) elements at least, hence the bound on the count.
     slack = lambda n: max(1, n // 20)
-    bits = wk.bucket_bits(total * (1.05 - percent / 100))
-    dealt = texts.select("text").mapInArrow(_dealt(k, bits, lambda n: n - need(n) + slack(n), 5, 4, hot), wk.PACKED)
-    hits = dealt.groupBy("bucket", "salt").applyInArrow(_counts, "s long, c long").groupBy("s").agg(F.sum("c").alias("c"))
+    entries = total * (1.05 - percent / 100)
+    deal = wk.Deal(wk.bucket_bits(entries), coarse)
+    dealt = texts.select("text").mapInArrow(_dealt(k, deal, lambda n: n - need(n) + slack(n), 5, 4, hot or wk.hot_least(entries)), wk.PACKED)
+    hits = deal.spread(dealt, [4, 5]).groupBy("bucket", "salt").applyInArrow(_counts, "s long, c long").groupBy("s").agg(F.sum("c").alias("c"))
     alive = classes.withColumn("s", F.expr(f"d1 & {int(MASK40)}L")).join(hits, "s").where(f"c >= greatest(1, {need_sql('n')} div 20)").select("n", "d1", "d2", "rep")
     alive = scratch.save(alive, "alive")
     scratch.release()
@@ -178,9 +176,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     total, left = alive.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     ids = alive.select(F.col("rep").alias("id"))
     ids = F.broadcast(ids) if left <= 500_000 else ids  # 8 bytes an id; more are joined by a shuffle
-    bits = wk.bucket_bits(total)
-    dealt = texts.join(ids, "id", "left_semi").select("text").mapInArrow(_dealt(k, bits, lambda n: n, 8, 5, hot), wk.PACKED)
-    elements = dealt.groupBy("bucket", "salt").applyInArrow(_elements, "s long, h long, df long")
+    deal = wk.Deal(wk.bucket_bits(total), coarse)
+    dealt = texts.join(ids, "id", "left_semi").select("text").mapInArrow(_dealt(k, deal, lambda n: n, 8, 5, hot or wk.hot_least(total)), wk.PACKED)
+    elements = deal.spread(dealt, [5, 8]).groupBy("bucket", "salt").applyInArrow(_elements, "s long, h long, df long")
     grouped = elements.groupBy("s").agg(F.array_sort(F.collect_set(F.struct("df", "h"))).alias("r")).select("s", F.col("r.h").alias("r"))
     sets = alive.select(F.col("d1").alias("s"), "n").distinct().join(grouped, "s").where(f"size(r) >= {need_sql('n')}").select("s", "n", "r")
     sets = scratch.save(sets, "sets")

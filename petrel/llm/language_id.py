@@ -2,8 +2,8 @@
 
 Every word gets a score for each language: the summed log-likelihood ratios of its byte
 n-grams (2, 3 and 4 bytes, the edges of the word included) under naive Bayes models
-learned from labelled rows.  The script of a word, found by ranges, first narrows which
-languages may claim it.  Viterbi over the words, with a penalty for each switch, labels
+learned from labelled rows.  The script of a word, found by ranges of its code points,
+first narrows which languages may claim it; what belongs to no script ends a word.  Viterbi over the words, with a penalty for each switch, labels
 spans; a text's language is the one whose spans hold the most letters' bytes, its score
 their share.  All of it runs over Arrow buffers: hashing, scoring and the Viterbi steps
 of all texts of a batch at once.
@@ -29,16 +29,53 @@ from . import wordkernel as wk
 GRAMS = (2, 3, 4)
 BITS = 16
 SIZE = 1 << BITS
-#: Script by the lead byte of UTF-8, from the ranges of the Unicode blocks.
-SCRIPTS = {"latin": [(0x41, 0x5A), (0x61, 0x7A), (0xC3, 0xCD)], "greek": [(0xCE, 0xCF)], "cyrillic": [(0xD0, 0xD4)], "hebrew": [(0xD5, 0xD7)], "arabic": [(0xD8, 0xDB)], "indic": [(0xE0, 0xE0)], "east": [(0xE1, 0xED)], "other": [(0xDC, 0xDF), (0xEE, 0xF4)]}
+#: First and last code points of scripts' letters, from the Unicode block chart.  What lies outside (quotes,
+#: dashes, symbols, digits, CJK punctuation) belongs to no script and ends a word; marks that combine with any letter stay.
+SCRIPTS = {
+    "marks": [(0x0300, 0x036F), (0x1AB0, 0x1AFF), (0x200C, 0x200D), (0x20D0, 0x20FF), (0xFE00, 0xFE0F)],
+    "latin": [(0x0041, 0x005A), (0x0061, 0x007A), (0x00AA, 0x00AA), (0x00B5, 0x00B5), (0x00BA, 0x00BA), (0x00C0, 0x00D6), (0x00D8, 0x00F6), (0x00F8, 0x02FF), (0x1D00, 0x1DBF), (0x1E00, 0x1EFF), (0x2C60, 0x2C7F), (0xA720, 0xA7FF), (0xAB30, 0xAB6F), (0xFB00, 0xFB06), (0xFF21, 0xFF3A), (0xFF41, 0xFF5A)],
+    "greek": [(0x0370, 0x037D), (0x037F, 0x03FF), (0x1F00, 0x1FFF)],
+    "cyrillic": [(0x0400, 0x052F), (0x1C80, 0x1C8F), (0x2DE0, 0x2DFF), (0xA640, 0xA69F)],
+    "armenian": [(0x0531, 0x0556), (0x0560, 0x0588), (0xFB13, 0xFB17)],
+    "hebrew": [(0x0591, 0x05BD), (0x05BF, 0x05F2), (0xFB1D, 0xFB4F)],
+    "arabic": [(0x0610, 0x061A), (0x0620, 0x065F), (0x066E, 0x06D3), (0x06D5, 0x06EF), (0x06FA, 0x06FF), (0x0750, 0x077F), (0x08A0, 0x08FF), (0xFB50, 0xFDFF), (0xFE70, 0xFEFC)],
+    "syriac": [(0x0700, 0x074F), (0x0780, 0x07BF)],
+    "indic": [(0x0900, 0x0963), (0x0971, 0x0DFF)],
+    "southeast": [(0x0E00, 0x0E4E), (0x0E80, 0x0ECF), (0x0F00, 0x109F), (0x1780, 0x17D3), (0x1980, 0x1A1F)],
+    "georgian": [(0x10A0, 0x10FF), (0x1C90, 0x1CBF), (0x2D00, 0x2D2F)],
+    "ethiopic": [(0x1200, 0x139F), (0x2D80, 0x2DDF)],
+    "hangul": [(0x1100, 0x11FF), (0x3130, 0x318F), (0xA960, 0xA97F), (0xAC00, 0xD7FF)],
+    "kana": [(0x3041, 0x30FF), (0x31F0, 0x31FF), (0xFF66, 0xFF9F)],
+    "han": [(0x2E80, 0x2FDF), (0x3005, 0x3007), (0x3100, 0x312F), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF)],
+    "other": [(0x07C0, 0x085F), (0x13A0, 0x177F), (0x1800, 0x18FF), (0x1A20, 0x1AAF), (0x1B00, 0x1C7F), (0x1CD0, 0x1CFF), (0xA000, 0xA63F), (0xA6A0, 0xA71F), (0xA800, 0xA95F), (0xA980, 0xAB2F), (0xAB70, 0xABFF), (0x10000, 0x1CFFF), (0x1E000, 0x1EFFF)],
+}
+_RANGES = sorted((first, last, number) for number, ranges in enumerate(SCRIPTS.values(), 1) for first, last in ranges)
+_EDGES = {last + 1: 0 for _, last, _ in _RANGES} | {first: number for first, _, number in _RANGES}
+EDGE_AT, EDGE_SCRIPT = np.array([0, *sorted(_EDGES)]), np.array([0, *(_EDGES[x] for x in sorted(_EDGES))], np.int8)
+
+
+def script_of(points: np.ndarray) -> np.ndarray:
+    """Number of each code point's script, 0 for none."""
+    return EDGE_SCRIPT[np.searchsorted(EDGE_AT, points, side="right") - 1]
+
+
+def wide_scripts(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the characters beyond ASCII in UTF-8 bytes: where they begin, their bytes, and their scripts."""
+    lead = np.flatnonzero(raw >= 0xC0)
+    first = raw[lead].astype(np.int64)
+    size = 2 + (first >= 0xE0) + (first >= 0xF0)
+    padded = np.concatenate([raw, np.zeros(3, np.uint8)])
+    point = first & (0x7F >> size)
+    for i in range(1, 4):
+        point = np.where(size > i, (point << 6) | (padded[lead + i] & 0x3F), point)
+    return lead, size, script_of(point)
+
+
 FOLD = np.full(256, 32, np.uint8)
 FOLD[128:] = np.arange(128, 256)
 FOLD[97:123] = np.arange(97, 123)
 FOLD[65:91] = np.arange(97, 123)
-SCRIPT_OF = np.zeros(256, np.int8)
-for _i, _ranges in enumerate(SCRIPTS.values(), 1):
-    for _a, _b in _ranges:
-        SCRIPT_OF[_a : _b + 1] = _i
+LATIN = list(SCRIPTS).index("latin") + 1
 FORBIDDEN = -50.0
 
 
@@ -52,9 +89,12 @@ class Batch:
         self.text = np.full(len(raw) + n + 4, 32, np.uint8)
         at = np.arange(len(raw)) + row + 1
         self.text[at] = FOLD[raw]
-        script = np.zeros(len(self.text), np.int8)
-        script[at] = SCRIPT_OF[raw]
+        lead, size, wide = wide_scripts(raw)
+        for i in range(4):  # a character of no script ends a word, all its bytes
+            self.text[at[lead[(wide == 0) & (size > i)] + i]] = 32
         letter = self.text != 32
+        script = np.where(letter & (self.text < 128), np.int8(LATIN), np.int8(0))
+        script[at[lead]] = wide
         start = np.flatnonzero(letter[1:] & ~letter[:-1]) + 1
         self.letter, self.start = letter, start
         bound = off + np.arange(n + 1)
@@ -104,10 +144,13 @@ def _count(batches):
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out, strict=True)], schema=pa.schema([("lang", pa.string()), ("k", pa.int32()), ("cells", pa.binary()), ("counts", pa.binary())]))
 
 
-def train(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 1500) -> dict:
+def train(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 1500, most_languages: int = 1000) -> dict:
     """The model: languages, n-gram tables and allowed scripts, from a bounded sample of the usable rows."""
     rows = docs.where(usable & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.abs(F.xxhash64(F.lit(5), F.col(id_col)) % 1_000_003).alias("dice"))
-    sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}  # a row per language
+    counts = rows.groupBy("lang").count()
+    if (n := counts.count()) > most_languages:
+        raise ValueError(f"{n} languages; a model holds {most_languages} at most (most_languages)")
+    sizes = {r[0]: r[1] for r in counts.collect()}  # a row per language
     share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, per_language / n) * 1_000_003)]) if sizes else F.create_map(F.lit(""), F.lit(0.0))
     sample = rows.where(F.col("dice") < share[F.col("lang")]).select("lang", "text").limit(2 * per_language * max(1, len(sizes)))
     counted = sample.repartition(8).mapInArrow(_count, "lang string, k int, cells binary, counts binary").collect()

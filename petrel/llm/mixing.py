@@ -9,7 +9,7 @@ the rates depend on; a bracket keeps each step safe where the cap flattens the d
 Rates become copies by carrying the words gained or lost from the longest documents to
 the shortest, so a source's words miss its target by about half of its shortest document.
 
-The driver sees one row per source.  Reruns agree: who gets the odd copy depends on a
+The driver sees one row per source; more than ``most_sources`` of them are refused.  Reruns agree: who gets the odd copy depends on a
 hash of the id.
 
 Edge cases: a null text has 0 words and its document is taken once (0 words); a null
@@ -83,8 +83,8 @@ def solve_dual(counts: DataFrame, targets: dict[int, float], sizes: dict[int, in
             step = lam[s] - miss / h if h > 0 else math.inf
             lam[s] = step if low[s] < step < high[s] else (low[s] + high[s]) / 2
         if settled:
-            break
-    return lam
+            return lam
+    raise RuntimeError(f"the dual did not settle in {steps} steps")
 
 
 def _round(cap: int):
@@ -104,12 +104,15 @@ def _round(cap: int):
     return run
 
 
-def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cap: int = 3, smooth: float = 16.0, scratch: Scratch | None = None) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cap: int = 3, smooth: float = 16.0, most_sources: int = 100_000, scratch: Scratch | None = None) -> DataFrame:
     """(id, size, source, source_size, target, copies) for every row; weights repeat over the sources in code point order."""
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "mix")
     narrow = scratch.save(docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(text_col).alias("size")), "narrow")
     hist = scratch.save(narrow.groupBy("source", "size").agg(F.count("*").alias("n")), "hist")
+    n_sources = hist.select("source").distinct().count()
+    if n_sources > most_sources:
+        raise ValueError(f"{n_sources} sources; the driver takes {most_sources} at most (most_sources)")
     found = [(r[0], r[1]) for r in hist.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("s")).collect()]
     found.sort(key=lambda x: (x[0] is None, x[0] or ""))
     sizes = [int(s) for _, s in found]

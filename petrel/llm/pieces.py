@@ -224,12 +224,14 @@ def _digests(model):
         enc = encoder(model.value)
         for keys, texts in _chunks(batches):
             tail = str(enc.end)
-            n, ids, decoded = [], [], []
-            for i, s, _, _, said in enc.pieces(texts):
+            n, ids, decoded, size, spans = [], [], [], [], []
+            for i, s, begin, end, said in enc.pieces(texts):
                 n.append(len(i) + 1)
+                size.append(int(end[-1] - begin[0]) if len(end) else 0)
+                spans.append(hashlib.sha256(np.stack([begin, end], axis=1).astype("<i8").tobytes()).hexdigest())
                 ids.append(hashlib.sha256(f"{s} {tail}".encode() if s else tail.encode()).hexdigest())
                 decoded.append(hashlib.sha256(said.encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([keys, pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            yield pa.RecordBatch.from_arrays([keys, pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string()), pa.array(size, pa.int64()), pa.array(spans, pa.string())], names=["id", "n_tokens", "ids_sha256", "decoded_sha256", "n_bytes", "spans_sha256"])
         enc.known.clear()
 
     return lean(run)
@@ -255,12 +257,13 @@ def _pieces(model):
 
 def encode_texts(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
     """A row per row of docs: ids with the end id, the source byte spans [begin, end) of the pieces before it and the
-    decoded text; with ``digests`` n_tokens, ids_sha256 and decoded_sha256 of the same instead, the spans computed and checked."""
+    decoded text; with ``digests`` instead n_tokens, ids_sha256, decoded_sha256, the source bytes that the spans cover
+    (n_bytes) and spans_sha256, over begin and end of each piece as little-endian 64-bit numbers."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a vocabulary file, half a megabyte
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     if digests:
-        out = rows.mapInArrow(_digests(shared), f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+        out = rows.mapInArrow(_digests(shared), f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, n_bytes long, spans_sha256 string")
     else:
         out = rows.mapInArrow(_pieces(shared), f"id {kind}, ids array<int>, begin array<int>, end array<int>, decoded string")
     return out.withColumnRenamed("id", id_col)

@@ -39,7 +39,7 @@ def op3_chat_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "<|im_end|><|im_start|>assistant ok"
     own = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], turns.schema)
-    out = chat_parts.read_back(chat_parts.format_conversations(turns.union(own)))
+    out = chat_parts.read_back(chat_parts.format_conversations(turns.union(own)), in_order=True)
     return out.select(F.col("conv").alias("conv_id"), "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
 
 

@@ -1,13 +1,15 @@
 """Intermediate tables in the folder that driver and executors share.
 
 The folder is ``spark.checkpoint.dir`` of the session.  Where the setting is absent
-(tests, a notebook on one machine) a temporary folder of this process stands in.
+(tests, a notebook on one machine) a temporary folder of this process stands in, for a local
+master only: on a cluster each executor would write to a disk of its own.
 """
 
 from __future__ import annotations
 
 import atexit
 import gc
+import re
 import tempfile
 import time
 import uuid
@@ -18,10 +20,13 @@ _FALLBACK: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """URI of the shared folder: the session's setting, else a temporary folder."""
+    """URI of the shared folder: the session's setting, else, on a local master, a temporary folder."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if not re.match(r"local(\[|$)", master):
+        raise RuntimeError(f"spark.checkpoint.dir must name a folder that driver and executors share (master {master})")
     if not _FALLBACK:
         _FALLBACK.append(tempfile.mkdtemp(prefix="petrel-"))
     return f"file://{_FALLBACK[0]}"

@@ -9,7 +9,7 @@ found, and runs of covered windows make the maximal repeats, whose words go.
 
 Hashes travel packed, dealt by hash into buckets whose number grows with the corpus; a
 lost bucket is recomputed from its input alone.  Windows that are frequent among one task's
-(``hot`` times) go to salted parts of their bucket, so no task gathers those of all texts.  Anchors are a filter without misses
+(``hot`` times, by default as the corpus' size asks) go to salted parts of their bucket, so no task gathers those of all texts.  Anchors are a filter without misses
 (41 bits and more: a chance hit costs one comparison, no word); windows are compared by
 57 bits and more.
 
@@ -30,15 +30,13 @@ from pyspark.sql import DataFrame, functions as F
 from . import wordkernel as wk
 from .scratch import Scratch
 
-FLUSH = 600_000
 KEY_BITS = 39
 NO_ID = np.iinfo(np.int64).max
 
 
 def _windows(raw, off, k):
     """Word hashes' windows of k words: (row, index of the row's first word, window hashes, rows' word bounds)."""
-    start, end, first = wk.words(raw, off)
-    w = wk.word_hashes(raw, start, end, wk.AS_IS)
+    start, end, first, w = wk.hashed_words(raw, off, wk.AS_IS)
     return start, end, first, w, wk.window_hashes(w, k)
 
 
@@ -49,11 +47,11 @@ def _inside(first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + first[:-1][row], row
 
 
-def _anchors(block: int, span: int, bits: int, least: int):
+def _anchors(block: int, span: int, deal: wk.Deal, least: int):
     """Packed (hash, flag and key of the document) of every rolling window; the flag marks reference blocks."""
 
     def run(batches):
-        parts, held, low = [], 0, np.uint64(64 - bits)
+        parts, held = [], 0
 
         def flush():
             h, o = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -61,10 +59,10 @@ def _anchors(block: int, span: int, bits: int, least: int):
             if often.any():
                 # Frequent windows count as reference blocks; the first and the last document stand for them.
                 x, y = h[often], o[often] | np.uint64(1 << KEY_BITS)
-                yield wk.pack((x >> low).astype(np.int64), 1 << bits, [(x, 4), (y, 5)], wk.salt_of(y))
+                yield deal.pack(x, [(x, 4), (y, 5)], wk.salt_of(y))
                 stand = np.concatenate(wk.ends_of(x, y))
                 h, o = np.concatenate([h[~often], x[stand]]), np.concatenate([o[~often], y[stand]])
-            yield wk.pack((h >> low).astype(np.int64), 1 << bits, [(h, 4), (o, 5)])
+            yield deal.pack(h, [(h, 4), (o, 5)])
 
         for batch in batches:
             for (keys,), raw, off in wk.slices([batch.column(0)], batch.column(1)):
@@ -76,7 +74,7 @@ def _anchors(block: int, span: int, bits: int, least: int):
                 flag = ((at - first[:-1][row]) % block == 0).astype(np.uint64) << np.uint64(KEY_BITS)
                 parts.append((g[at], key | flag))
                 held += len(at)
-                if held >= FLUSH:
+                if held >= wk.FLUSH:
                     yield from flush()
                     parts, held = [], 0
         if held:
@@ -85,27 +83,24 @@ def _anchors(block: int, span: int, bits: int, least: int):
     return wk.lean(run)
 
 
-def _anchored(bits: int):
-    def run(table: pa.Table) -> pa.Table:
-        """The windows whose hash is a reference block's and occurs in two documents: rows (key, hash)."""
-        b = np.uint64(table.column("bucket")[0].as_py())
-        h, o = wk.unpack(table, [4, 5])
-        order = np.argsort(h, kind="stable")
-        h, o = h[order], o[order]
-        head = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-        n = np.diff(np.append(head, len(h)))
-        key = o & np.uint64((1 << KEY_BITS) - 1)
-        ref = np.maximum.reduceat(o >> np.uint64(KEY_BITS), head)
-        two = np.maximum.reduceat(key, head) > np.minimum.reduceat(key, head)
-        hit = np.repeat(two & (ref > 0), n)
-        h, o = h[hit] | (b << np.uint64(32)), key[hit]
-        order = np.lexsort((h, o))
-        h, o = h[order], o[order]
-        new = np.ones(len(h), bool)
-        new[1:] = (h[1:] != h[:-1]) | (o[1:] != o[:-1])
-        return pa.table({"k": o[new].view(np.int64), "h": h[new].view(np.int64)})
-
-    return run
+def _anchored(table: pa.Table) -> pa.Table:
+    """The windows whose hash is a reference block's and occurs in two documents: rows (key, hash)."""
+    b = np.uint64(table.column("bucket")[0].as_py())
+    h, o = wk.unpack(table, [4, 5])
+    order = np.argsort(h, kind="stable")
+    h, o = h[order], o[order]
+    head = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+    n = np.diff(np.append(head, len(h)))
+    key = o & np.uint64((1 << KEY_BITS) - 1)
+    ref = np.maximum.reduceat(o >> np.uint64(KEY_BITS), head)
+    two = np.maximum.reduceat(key, head) > np.minimum.reduceat(key, head)
+    hit = np.repeat(two & (ref > 0), n)
+    h, o = h[hit] | (b << np.uint64(32)), key[hit]
+    order = np.lexsort((h, o))
+    h, o = h[order], o[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (o[1:] != o[:-1])
+    return pa.table({"k": o[new].view(np.int64), "h": h[new].view(np.int64)})
 
 
 def _lists(column) -> tuple[np.ndarray, np.ndarray]:
@@ -123,11 +118,11 @@ def _member(values: np.ndarray, sets: np.ndarray) -> np.ndarray:
     return np.isin(values, sets) if len(sets) and len(values) else np.zeros(len(values), bool)
 
 
-def _extended(block: int, span: int, anchor_bits: int, bits: int, least: int):
+def _extended(block: int, span: int, deal: wk.Deal, least: int):
     """Packed (hash, id) of every span window that holds an anchor."""
 
     def run(batches):
-        parts, held, low = [], 0, np.uint64(64 - bits)
+        parts, held = [], 0
 
         def flush():
             h, o = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -135,16 +130,16 @@ def _extended(block: int, span: int, anchor_bits: int, bits: int, least: int):
             if often.any():
                 # All but the first document of a frequent window are later ones for sure; the first stands for them.
                 x, y = h[often], o[often]
-                yield wk.pack((x >> low).astype(np.int64), 1 << bits, [(x, 6), (y, 8)], wk.salt_of(y))
+                yield deal.pack(x, [(x, 6), (y, 8)], wk.salt_of(y))
                 stand = wk.ends_of(x, y.view(np.int64))[0]
                 h, o = np.concatenate([h[~often], x[stand]]), np.concatenate([o[~often], y[stand]])
-            yield wk.pack((h >> low).astype(np.int64), 1 << bits, [(h, 6), (o, 8)])
+            yield deal.pack(h, [(h, 6), (o, 8)])
 
         for batch in batches:
             for (ids, hits), raw, off in wk.slices([batch.column(0), batch.column(2)], batch.column(1)):
                 _, _, first, w, g = _windows(raw, off, block)
                 g13 = wk.window_hashes(w, span)
-                cut = ((g >> np.uint64(64 - anchor_bits)) << np.uint64(32)) | (g & np.uint64(0xFFFFFFFF))
+                cut = ((g >> np.uint64(64 - deal.bits)) << np.uint64(32)) | (g & np.uint64(0xFFFFFFFF))
                 values, bound = _lists(hits)
                 id_list = ids.fill_null(NO_ID).to_numpy(zero_copy_only=False)
                 for r in range(len(off) - 1):
@@ -157,7 +152,7 @@ def _extended(block: int, span: int, anchor_bits: int, bits: int, least: int):
                     h = np.unique(g13[a : b - span + 1][some])
                     parts.append((h, np.full(len(h), id_list[r], np.int64).view(np.uint64)))
                     held += len(h)
-                if held >= FLUSH:
+                if held >= wk.FLUSH:
                     yield from flush()
                     parts, held = [], 0
         if held:
@@ -236,32 +231,33 @@ def _cut(span: int, bits: int, full: bool):
     return wk.lean(run)
 
 
-def repeated_windows(docs: DataFrame, id_col: str, text_col: str, span: int, scratch: Scratch, hot: int = wk.HOT) -> tuple[DataFrame, int]:
+def repeated_windows(docs: DataFrame, id_col: str, text_col: str, span: int, scratch: Scratch, hot: int | None = None, coarse: int = wk.COARSE) -> tuple[DataFrame, int]:
     """(id, hashes): of each document the span windows that start in an earlier document, and the bits of a bucket."""
     block = (span + 1) // 2
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).withColumn("k", F.expr(f"pmod(xxhash64(id), {1 << KEY_BITS}L)"))
     chars = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     bits = wk.bucket_bits(chars / 6)
-    dealt = texts.select("k", "text").mapInArrow(_anchors(block, span, bits, hot), wk.PACKED)
-    hits = dealt.groupBy("bucket", "salt").applyInArrow(_anchored(bits), "k long, h long")
+    deal, hot = wk.Deal(bits, coarse), hot or wk.hot_least(chars / 6)
+    dealt = texts.select("k", "text").mapInArrow(_anchors(block, span, deal, hot), wk.PACKED)
+    hits = deal.spread(dealt, [4, 5]).groupBy("bucket", "salt").applyInArrow(_anchored, "k long, h long")
     hits = scratch.save(hits, "anchors")
     del dealt
     scratch.release()
     mine = texts.join(hits.groupBy("k").agg(F.collect_list("h").alias("hits")), "k")
-    dealt = mine.select("id", "text", "hits").mapInArrow(_extended(block, span, bits, bits, hot), wk.PACKED)
-    gone = scratch.save(dealt.groupBy("bucket", "salt").applyInArrow(_later, "id long, h long"), "later")
+    dealt = mine.select("id", "text", "hits").mapInArrow(_extended(block, span, deal, hot), wk.PACKED)
+    gone = scratch.save(deal.spread(dealt, [6, 8]).groupBy("bucket", "salt").applyInArrow(_later, "id long, h long"), "later")
     del dealt, mine, hits
     scratch.drop("anchors")
     scratch.release()
     return gone.groupBy("id").agg(F.collect_list("h").alias("hashes")), bits
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 13, full: bool = True, carry: list[str] | None = None, hot: int = wk.HOT, scratch: Scratch | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 13, full: bool = True, carry: list[str] | None = None, hot: int | None = None, coarse: int = wk.COARSE, scratch: Scratch | None = None) -> DataFrame:
     """A row per document: id, n_words, n_removed, and with full the text without the removed words
     (the white space of what is left is kept) and their runs (first, words); else kept_sha256, the digest of
     the kept words joined by a space.  Columns named in carry come along."""
     scratch = scratch or Scratch(docs.sparkSession, "substrings")
-    gone, bits = repeated_windows(docs, id_col, text_col, span, scratch, hot)
+    gone, bits = repeated_windows(docs, id_col, text_col, span, scratch, hot, coarse)
     carried = F.struct(*[F.col(c) for c in carry]) if carry else F.struct(F.lit(True).alias("row"))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), carried.alias("carried"))
     mine = texts.join(gone.withColumnRenamed("id", "of"), F.coalesce("id", F.lit(int(NO_ID))) == F.col("of"), "left").select("id", "text", "hashes", "carried")

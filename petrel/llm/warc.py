@@ -36,7 +36,7 @@ HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 READ_BYTES = 1 << 20
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 
 
 def base32_sha1(payload: Column) -> Column:
@@ -105,22 +105,28 @@ def _open(uri: str):
 
 
 def inflate(chunks):
-    """Bytes of a gzip file, whether one stream or many members."""
-    z = zlib.decompressobj(31)
+    """Bytes of a gzip file, whether one stream or many members, in pieces of READ_BYTES at most; a stream that is cut
+    anywhere, its trailer included, is an error."""
+    z, begun = zlib.decompressobj(31), False
     for chunk in chunks:
         while chunk:
-            out = z.decompress(chunk)
+            if not begun:
+                chunk = chunk.lstrip(b"\0")  # padding between members
+                begun = bool(chunk)
+                continue
+            out = z.decompress(chunk, READ_BYTES)
             if out:
                 yield out
-            chunk = z.unused_data
+            chunk = z.unused_data if z.eof else z.unconsumed_tail
             if z.eof:
-                chunk = chunk.lstrip(b"\0") if chunk else chunk
-                z = zlib.decompressobj(31)
-            else:
-                break
-    rest = z.flush()
-    if rest:
-        yield rest
+                z, begun = zlib.decompressobj(31), False
+            elif not chunk:
+                while out := z.decompress(b"", READ_BYTES):  # what a full buffer held back
+                    yield out
+                if z.eof:
+                    z, begun = zlib.decompressobj(31), False
+    if begun:
+        raise ValueError("gzip stream ends early")
 
 
 def headers_of(head: bytes) -> dict[str, str]:
@@ -172,9 +178,10 @@ def _normalize(out_dir: str, level: int):
                         rows.append((out_uri, offset, len(member), head["warc-type"], head.get("warc-target-uri"), head.get("warc-payload-digest")))
                         offset += len(member)
                 to.move(part, final)
-                cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
                 kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["file", "offset", "length", "type", "target", "digest"])
+                for i in range(0, len(rows), 10_000):
+                    cols = zip(*rows[i : i + 10_000], strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["file", "offset", "length", "type", "target", "digest"])
 
     return run
 
@@ -202,16 +209,18 @@ def _read(batches):
         return int(x) if x else None
 
     for batch in batches:
-        for uri, first, last in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for uri, members in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             fs, path = _open(uri)
-            rows = []
+            rows, first, last = [], members[0]["offset"], members[-1]["offset"] + members[-1]["length"]
             with fs.open_input_file(path) as source:
                 source.seek(first)
-                data = source.read(last - first)
-            while data:
+                data = memoryview(source.read(last - first))
+            for m in members:
                 z = zlib.decompressobj(31)
-                record = z.decompress(data) + z.flush()
-                data = z.unused_data
+                at = m["offset"] - first
+                record = z.decompress(data[at : at + m["length"]])
+                if not z.eof or z.unused_data:
+                    raise ValueError(f"{uri}: no whole member at {m['offset']}")
                 end = record.index(b"\r\n\r\n")
                 head = headers_of(record[:end])
                 block = record[end + 4 : end + 4 + int(head["content-length"])]
@@ -227,10 +236,14 @@ def _read(batches):
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["page", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
 
-def read_indexed(index: DataFrame) -> DataFrame:
+def read_indexed(index: DataFrame, block_bytes: int = BLOCK_BYTES, most_tasks: int = 20_000) -> DataFrame:
     """(page, payload_bytes, payload_digest, record_type, refers_to) of every record, read by ranges of the index."""
-    ranges = index.groupBy("file", F.expr(f"offset div {BLOCK_BYTES}").alias("block")).agg(F.min("offset").alias("first"), F.max(F.col("offset") + F.col("length")).alias("last"))
-    return ranges.select("file", "first", "last").repartition("file", "first").mapInArrow(_read, READ)
+    block = F.expr(f"offset div {block_bytes}").alias("block")
+    # A block's members: 16 bytes each, of a block that itself is read into memory.
+    ranges = index.groupBy("file", block).agg(F.sort_array(F.collect_list(F.struct("offset", "length"))).alias("members"))
+    # A task for each block up to most_tasks, counted from the index: its few rows say nothing of the archives' bytes.
+    blocks = index.select("file", block).distinct().count()
+    return ranges.select("file", "members").repartition(max(1, min(most_tasks, blocks))).mapInArrow(_read, READ)
 
 
 def archive_pages(pages: DataFrame, scratch: Scratch | None = None) -> DataFrame:

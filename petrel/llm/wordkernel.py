@@ -113,6 +113,35 @@ def word_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray, table: np.n
     return mix((sums[end] - sums[start]) * powers(INVERSE, len(raw))[start])
 
 
+def hashed_words(raw: np.ndarray, off: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends, rows' first words (as ``words``) and hashes; a row of many slices is hashed slice by slice, cut at
+    white space, as hashing takes some forty bytes for each byte of text."""
+    if len(raw) <= 4 * SLICE_BYTES:
+        start, end, first = words(raw, off)
+        return start, end, first, word_hashes(raw, start, end, table)
+    cuts, at = [0], 0
+    bounds = off[1:]
+    while at < len(raw):
+        to = min(len(raw), at + SLICE_BYTES)
+        if to < len(raw):
+            space = np.flatnonzero(SPACE[raw[to : to + SLICE_BYTES]])
+            while not len(space) and to < len(raw):
+                to = min(len(raw), to + SLICE_BYTES)
+                space = np.flatnonzero(SPACE[raw[to : to + SLICE_BYTES]])
+            to = to + int(space[0]) if len(space) else len(raw)
+        cuts.append(to)
+        at = to
+    starts, ends, hashes = [], [], []
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        inner = bounds[(bounds > a) & (bounds < b)] - a
+        start, end, _ = words(raw[a:b], np.concatenate([[0], inner, [b - a]]))
+        hashes.append(word_hashes(raw[a:b], start, end, table))
+        starts.append(start + a)
+        ends.append(end + a)
+    start = np.concatenate(starts)
+    return start, np.concatenate(ends), np.searchsorted(start, off), np.concatenate(hashes)
+
+
 def window_hashes(w: np.ndarray, k: int) -> np.ndarray:
     """Hash of each k consecutive words, rows not regarded: entry i covers words i to i+k-1."""
     m = len(w) - k + 1
@@ -137,9 +166,17 @@ def short_hash(w: np.ndarray) -> np.uint64:
 # a few that stand for them go to the bucket's plain part (salt 0), where they meet the other batches' entries.
 
 HOT = 256
+FLUSH = 600_000  # entries of a batch
+PLAIN = 2_000_000  # entries of one hash that the plain part of a bucket may get
 SALTS = 4095
 
 
+def hot_least(entries: float) -> int:
+    """From how many entries in a batch on a hash counts as frequent: HOT, or less in a large corpus, so that the batches'
+    infrequent entries of one hash together are PLAIN at most (or two for each batch)."""
+    return int(min(HOT, max(2, PLAIN * FLUSH // max(1, entries))))
+
+
 def hot(h: np.ndarray, least: int) -> np.ndarray:
     """Which entries have a hash that occurs at least ``least`` times among them."""
     low = (h & U(0xFFFFF)).astype(np.int64)
@@ -197,6 +234,55 @@ def unpack(table: pa.Table, widths: list[int]) -> list[np.ndarray]:
     return [o.view("<u8").reshape(-1) for o in out]
 
 
+COARSE = 13
+
+
+class Deal:
+    """How entries are dealt to 2^bits buckets by the top bits of their hash.
+
+    Of many buckets a batch would hold less than an entry each, so it is dealt to 2^coarse of them first, and a task that
+    gathers a coarse bucket deals full batches of it on (``spread``).
+    """
+
+    def __init__(self, bits: int, coarse: int = COARSE):
+        self.bits, self.coarse = bits, min(bits, coarse)
+        self.fine = bits - self.coarse
+
+    def pack(self, h: np.ndarray, fields: list[tuple[np.ndarray, int]], salt: int = 0, stand: bool = False) -> pa.RecordBatch:
+        if self.fine:
+            fields = [*fields, ((h >> U(64 - self.bits)) & U((1 << self.fine) - 1), 3)]
+        return pack((h >> U(64 - self.coarse)).astype(np.int64), 1 << self.coarse, fields, salt, stand)
+
+    def spread(self, dealt, widths: list[int]):
+        """Packed rows by their final buckets."""
+        if not self.fine:
+            return dealt
+        fine = self.fine
+
+        def run(batches):
+            key, rows, held = None, [], 0
+
+            def flush():
+                table = pa.table({"n": pa.array([n for n, _ in rows], pa.int32()), "data": pa.array([d for _, d in rows], pa.binary())})
+                *fields, middle = unpack(table, [*widths, 3])
+                out = pack(middle.astype(np.int64), 1 << fine, list(zip(fields, widths, strict=True)), key[1], key[2])
+                bucket = pa.array((out.column(0).to_numpy().astype(np.int64) + (key[0] << fine)).astype(np.int32))
+                return pa.RecordBatch.from_arrays([bucket, *out.columns[1:]], names=out.schema.names)
+
+            for batch in batches:
+                for bucket, salt, stand, n, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    if rows and ((bucket, salt, stand) != key or held >= FLUSH):
+                        yield flush()
+                        rows, held = [], 0
+                    key = (bucket, salt, stand)
+                    rows.append((n, data))
+                    held += n
+            if rows:
+                yield flush()
+
+        return dealt.repartition("bucket", "salt").sortWithinPartitions("bucket", "salt", "stand").mapInArrow(lean(run), PACKED)
+
+
 def bucket_bits(entries: float, per_bucket: int = 1_000_000, least: int = 9) -> int:
     """Bits of the hash that choose a bucket, so that a bucket holds about per_bucket entries however many there are."""
     return max(least, int(np.ceil(np.log2(max(1.0, entries / per_bucket)))))

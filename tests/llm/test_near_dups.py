@@ -70,6 +70,7 @@ def test_jaccard_against_brute_force(spark):
     assert len(out) == len(rows)
     # With every shingle that a task has three times dealt as a frequent one.
     assert sorted(map(str, jaccard_components(documents(spark, rows), hot=3).collect())) == sorted(map(str, out))
+    assert sorted(map(str, jaccard_components(documents(spark, rows), hot=40, coarse=4).collect())) == sorted(map(str, out))
     for r in out:
         if r.doc_id is not None:
             assert r.n_shingles in {len(s) for s in sets[r.doc_id]}
@@ -79,6 +80,36 @@ def test_jaccard_against_brute_force(spark):
             assert r.n_shingles == 3
 
 
+def test_jaccard_templates(spark, monkeypatch):
+    """Texts of one template that do not link are not met pair by pair, and near ones among them are found."""
+    from petrel.llm import jaccard_join
+
+    rng = random.Random(5)
+    shared = [f"t{i}" for i in range(89)]
+    rows = [(i, " ".join([f"a{i}x{k}" for k in range(15)] + shared)) for i in range(1500)]
+    rows += [(2000 + i, " ".join([f"a{i}x{k}" for k in range(rng.randrange(1, 4), 15)] + shared)) for i in range(0, 60)]
+    met = []
+    old = jaccard_join._candidates
+    monkeypatch.setattr(jaccard_join, "_candidates", lambda now, *a: met.append((now.count(), old(now, *a).count())) or old(now, *a))
+    out = {r.doc_id: r.component_id for r in jaccard_components(documents(spark, rows)).collect()}
+    assert out == {i: i if i < 2000 else i - 2000 for i in out}
+    assert all(pairs < 20 * entries for entries, pairs in met), met
+
+
+def test_jaccard_random_sets(spark):
+    """Small sets with much in common, where every filter is at its bounds."""
+    rng = random.Random(6)
+    for _ in range(2):
+        rows = []
+        for i in range(160):
+            w = [f"b{rng.randrange(3)}s{k}" if rng.random() < 0.12 else f"s{k}" for k in range(rng.randrange(8, 40))]
+            rows.append((i, " ".join(w)))
+        sets = {i: shingles(t) for i, t in rows}
+        links = [(i, j) for i in sets for j in sets if i < j and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+        want = roots(sets, links)
+        assert {r.doc_id: r.component_id for r in jaccard_components(documents(spark, rows)).collect()} == want
+
+
 def test_jaccard_empty(spark):
     assert jaccard_components(documents(spark, [])).count() == 0
     out = jaccard_components(documents(spark, [(1, None), (2, "")])).collect()
@@ -118,6 +149,7 @@ def test_substrings_against_brute_force(spark):
     assert sorted(map(tuple, remove_repeats(df, full=False).collect())) == want
     assert sorted(map(tuple, remove_repeats(df, full=False, hot=3).collect())) == want
     assert sorted(map(tuple, remove_repeats(df.repartition(6), full=False, hot=2).collect())) == want
+    assert sorted(map(tuple, remove_repeats(df, full=False, hot=40, coarse=4).collect())) == want
     full = remove_repeats(df, full=True, carry=["lang", "source", "id"]).collect()
     assert sorted((r.doc_id, r.n_words, r.n_removed, hashlib.sha256(" ".join(words(r.kept_text)).encode()).hexdigest()) for r in full) == want
     assert all(sum(x.words for x in r.removed) == r.n_removed and r.id == "x" for r in full)

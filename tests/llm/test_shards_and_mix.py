@@ -7,9 +7,11 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from petrel.llm import kd_shards as kd
 from petrel.llm.kd_shards import kd_shards
-from petrel.llm.mixing import capped_targets, mix_sources
+from petrel.llm.mixing import capped_targets, mix_sources, solve_dual
 from petrel.llm.numbering import numbered
+from petrel.llm.scratch import Scratch
 
 from .helpers import documents, prose, words
 
@@ -44,13 +46,87 @@ def test_kd_small_inputs(spark):
     assert kd_shards(documents(spark, []), shards=40).count() == 0
     out = kd_shards(documents(spark, [(1, "a"), (2, "b")]), shards=5).collect()
     assert len(out) == 2 and all(0 <= r.shard < 5 for r in out)
-    # Equal texts meet in one shard unless a cut falls into a group that outweighs its tolerance.
+    # Equal texts meet in one shard.
     rng = random.Random(2)
     rows = [(i, prose(rng, 50)) for i in range(2000)] + [(9000 + i, "twins of a text") for i in range(2)]
     twins = {r.shard for r in kd_shards(documents(spark, rows), shards=4).where("doc_id >= 9000").collect()}
     assert len(twins) == 1
 
 
+def plain_tree(rows, shards, dims, leaf, tolerance, first=0):
+    """{row: shard} by a K-d tree over sorted rows (k0, k1, ..., size, dice), each cut searched from the start."""
+    if shards == 1:
+        return {i: first for i, *_ in rows}
+    half = shards // 2
+    right = set()
+    if rows:
+        wide = [(max(r[1][d] for r in rows) >> 32) - (min(r[1][d] for r in rows) >> 32) for d in range(dims)]
+        d = wide.index(max(wide))
+        held, weight = {}, sum(r[2] for r in rows)
+        goal, cut, divided = weight * half / shards, None, None
+        while cut is None:
+            groups = defaultdict(int)
+            for r in rows:
+                if r[1][d] not in held:
+                    groups[r[1][d]] += r[2]
+            base = 0
+            for k in sorted(groups):
+                w = groups[k]
+                if base + w >= goal:
+                    break
+                base += w
+            else:
+                cut = max(r[1][d] for r in rows) + 1
+                break
+            before, after = goal - base, base + w - goal
+            side = before < after
+            room = [w <= goal, w <= weight - goal]
+            if min(before, after) <= kd.UNEVEN * leaf:
+                cut = k if side else k + 1
+            elif not any(room):
+                divided, cut = k, k
+            elif len(held) == kd.HOLDS:
+                cut = k if side else k + 1
+            else:
+                held[k] = side if room[side] else not side
+                weight -= w
+                goal -= 0 if held[k] else w
+        if divided is not None:
+            for x in sorted({r[3] for r in rows if r[1][d] == divided}):
+                w = sum(r[2] for r in rows if r[1][d] == divided and r[3] == x)
+                if base + w >= goal:
+                    at = x if goal - base < base + w - goal else x + 1
+                    break
+                base += w
+        for r in rows:
+            k = r[1][d]
+            if held.get(k, r[3] >= at if k == divided else k >= cut):
+                right.add(r[0])
+    low, high = [r for r in rows if r[0] not in right], [r for r in rows if r[0] in right]
+    return plain_tree(low, half, dims, leaf, tolerance, first) | plain_tree(high, shards - half, dims, leaf, tolerance, first + half)
+
+
+def test_kd_tree_against_plain(spark):
+    rng = random.Random(8)
+    texts = [prose(rng, rng.randrange(1, 200)) + "\n" * rng.randrange(4) for _ in range(700)]
+    texts += ["a copied text of some words"] * 400 + [prose(rng, 90)] * 30 + [texts[5]] * 20 + ["é ü"] * 15 + [None, "", ""]
+    df = documents(spark, list(enumerate(texts)))
+    points, dims = kd.kd_points(df, Scratch(spark, "kd-test"))
+    rows = [(r.id, [r[f"k{d}"] for d in range(dims)], r["size"], r.dice) for r in points.collect()]
+    for shards in (7, 16):
+        leaf = sum(r[2] for r in rows) / shards
+        want = plain_tree(rows, shards, dims, leaf, 0.0)
+        got = {r.doc_id: r for r in kd_shards(df, shards=shards, tolerance=0.0).collect()}
+        assert {i: r.shard for i, r in got.items()} == want
+        groups, weight = defaultdict(set), defaultdict(int)
+        for i, r in got.items():
+            groups[r.text_crc32].add(r.shard)
+            weight[r.text_crc32] += r["size"]
+        assert all(len(x) == 1 for crc, x in groups.items() if weight[crc] < leaf)
+        sizes = [sum(r["size"] for r in got.values() if r.shard == s) for s in range(shards)]
+        assert max(sizes) - min(sizes) < 0.2 * leaf
+
+
 def test_targets():
     assert capped_targets([100, 100, 100], [5, 2, 1]) == [187.5, 75.0, 37.5]
     got = capped_targets([10, 100, 100], [5, 2, 1])
@@ -81,6 +157,45 @@ def test_mix(spark):
     assert mix_sources(df.limit(0)).count() == 0
 
 
+def test_dual_against_bisection(spark):
+    import math
+
+    rng = random.Random(4)
+    counts = [(s, n, rng.randrange(1, 9)) for s in range(4) for n in rng.sample(range(1, 400), 60)]
+    sizes = {s: sum(n * m for t, n, m in counts if t == s) for s in range(4)}
+    targets = {0: 2.5 * sizes[0], 1: 0.3 * sizes[1], 2: 1.0 * sizes[2], 3: 3.0 * sizes[3]}
+    got = solve_dual(spark.createDataFrame(counts, "sid int, size long, n long"), targets, sizes, 16.0, 3)
+    for s, want in targets.items():
+        total = lambda lam, s=s: sum(n * m * min(3, math.exp(lam * n / (n + 16))) for t, n, m in counts if t == s)
+        low, high = -50.0, 50.0
+        for _ in range(200):
+            middle = (low + high) / 2
+            low, high = (middle, high) if total(middle) < want else (low, middle)
+        assert total(got[s]) == pytest.approx(want, rel=1e-8)
+        assert s == 3 or got[s] == pytest.approx(high, abs=1e-6)
+
+
+def test_shared_folder():
+    from types import SimpleNamespace as S
+
+    from petrel.llm.scratch import shared_dir
+
+    def session(master, folder=None):
+        return S(sparkContext=S(master=master, getConf=lambda: {"spark.checkpoint.dir": folder}), conf=S(get=lambda *a: None))
+
+    assert shared_dir(session("yarn", "hdfs://x/y/")) == "hdfs://x/y"
+    assert shared_dir(session("local[4]")).startswith("file:///")
+    for master in ("yarn", "local-cluster[2,1,1024]", "spark://a:7077"):
+        with pytest.raises(RuntimeError, match="checkpoint"):
+            shared_dir(session(master))
+
+
+def test_sources_are_bounded(spark):
+    df = documents(spark, [(i, "a b", "en", f"s{i}") for i in range(5)])
+    with pytest.raises(ValueError, match="5 sources"):
+        mix_sources(df, most_sources=4)
+
+
 def test_pipeline_against_plain_stages(spark):
     """The stages one by one on planted documents: what each must keep, drop and cut."""
     import corpus_pipeline as c

@@ -30,7 +30,7 @@ def test_simhash_documents(spark):
     rng = random.Random(1)
     rows = [(7 * i * i, prose(rng, rng.randrange(1, 200))) for i in range(150)] + [(-5, None), (3, ""), (4, "é"), (5, "one two three 😀 four"), (10**15, prose(rng, 30000)), (6, "same same"), (8, "same same")]
     want = edited(rows)
-    out = {r.doc_id: r for r in simhash.fingerprint_documents(documents(spark, rows)).collect()}
+    out = {r.doc_id: r for r in simhash.digests(documents(spark, rows)).collect()}
     assert set(out) == set(want)
     like = lambda a, b: 1 - bin(int(a, 16) ^ int(b, 16)).count("1") / 64
     for i, (n, text, after) in want.items():
@@ -38,13 +38,62 @@ def test_simhash_documents(spark):
         assert (r.n_chars, r.edited_sha256) == (n, hashlib.sha256(text.encode()).hexdigest())
         assert r.near_edited == pytest.approx(like(r.fingerprint, r.edited_fingerprint))
         assert r.near_next == pytest.approx(like(r.fingerprint, out[after].fingerprint))
+        assert (r.fingerprint, r.edited_fingerprint) == (plain_fingerprint(dict(rows)[i] or ""), plain_fingerprint(text))
+        near = sum(like(r.fingerprint, x.fingerprint) >= 61 / 64 for x in out.values()) - 1
+        assert r.n_near == (near if i % 20 == 0 else None)
     assert out[6].fingerprint == out[8].fingerprint and out[-5].fingerprint == "0" * 16 == out[3].fingerprint
     long = [r for i, r in out.items() if r.n_chars > 100]
     assert sum(r.near_edited > r.near_next for r in long) >= 0.97 * len(long)
-    one = simhash.fingerprint_documents(documents(spark, [(1, "only one text here")])).first()
+    one = simhash.digests(documents(spark, [(1, "only one text here")])).first()
     assert one.near_next == 1.0
-    assert simhash.fingerprint_documents(documents(spark, [])).count() == 0
-    assert simhash.fingerprint_documents(documents(spark, [(1, "a b"), (1, "a b"), (None, "c d")])).count() == 3
+    assert simhash.digests(documents(spark, [])).count() == 0
+    assert simhash.digests(documents(spark, [(1, "a b"), (1, "a b"), (None, "c d")])).count() == 3
+
+
+def test_runs_of_ids(spark):
+    """The row after each, whatever the ids: far apart, extreme, null, or one for many rows."""
+    rng = random.Random(9)
+    ids = [-(2**63), 2**63 - 1, 10**15, *range(300), *[77] * 250, *[None] * 200]
+    rows = [(i, f"{'' if k % 7 else 'a '}{rng.getrandbits(60)}") for k, i in enumerate(ids)]
+    df = documents(spark, rows)
+    for per_run in (10, 33, None):
+        out = simhash.with_next(df, "doc_id", "text", Scratch(spark, "runs"), per_run).where("ghost = 0").collect()
+        sizes = {}
+        for r in out:
+            sizes[r.part] = sizes.get(r.part, 0) + 1
+        assert len(out) == len(rows) and (per_run is None or max(sizes.values()) <= 4 * per_run), max(sizes.values())
+        hashes = dict(df.select("text", F.xxhash64("text").alias("h")).collect())
+        order = sorted(((r.id is not None, r.id or 0, hashes[r.text]), r.text) for r in out)
+        following = {t: order[(k + 1) % len(order)][1] for k, (_, t) in enumerate(order)}
+        assert all(r.next_text == following[r.text] for r in out)
+
+
+def test_hot_key_of_the_radius_search(spark):
+    """Many fingerprints that share blocks: counted through tiles, without a row for each pair."""
+    rng = random.Random(12)
+    sign = lambda x: x - (1 << 64) if x >> 63 else x
+    fps = [sign(0xABCDEF << 40 | rng.getrandbits(14)) for _ in range(1500)] + [7, 7, 7]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(fps)], "doc_id long, fp long")
+    got = {r.doc_id: r.n_near for r in simhash.with_neighbours(df).collect()}
+    apart = lambda a, b: bin((a ^ b) & ((1 << 64) - 1)).count("1")
+    assert got == {i: sum(apart(x, y) <= 3 for y in fps) - 1 if i % 20 == 0 else None for i, x in enumerate(fps)}
+    assert simhash.count_within_radius(df, df, tile=50).where("query_fp = 7").first().n_near == 3
+
+
+def plain_fingerprint(text):
+    """Words and neighbouring words vote on 64 bits by their hashes."""
+    import re
+    import struct
+
+    import xxhash
+
+    words = [xxhash.xxh64(w.encode(), seed=42).intdigest() for w in re.split("[ \t-\r]+", text) if w]
+    long = lambda x, seed: xxhash.xxh64(struct.pack("<Q", x), seed=seed).intdigest()
+    votes = [0] * 64
+    for h, weight in [(w, 1) for w in words] + [(long(b, long(a, 42)), 4) for a, b in zip(words, words[1:])]:
+        for j in range(64):
+            votes[j] += weight if h >> j & 1 else -weight
+    return f"{sum(1 << j for j in range(64) if votes[j] > 0):016x}"
 
 
 def test_radius_search_finds_all(spark):
@@ -93,6 +142,39 @@ def test_language(spark):
     assert language_id.identify(df.limit(0), model).count() == 0
 
 
+def test_scripts_by_code_points():
+    def scripts(text):
+        raw = np.frombuffer(text.encode(), np.uint8)
+        names = ["", *language_id.SCRIPTS]
+        data = language_id.Batch(raw, np.array([0, len(raw)]))
+        return [names[i] for i in data.script], [bytes(data.text[a : a + n]) for a, n in zip(data.start, data.letters, strict=True)]
+
+    assert scripts("“Hello” café việt—Привет") == (["latin"] * 3 + ["cyrillic"], [b"hello", "café".encode(), "việt".encode(), "Привет".encode()])
+    assert scripts("ქართული ἀρχή 日本語、かな 한국 אב عر x×y 😀")[0] == ["georgian", "greek", "han", "kana", "hangul", "hebrew", "arabic", "latin", "latin"]
+    assert scripts("… « » 12 — 。")[0] == [] and scripts("e\u0301")[0] == ["latin"]
+
+
+def test_languages_are_bounded(spark):
+    df = documents(spark, [(i, "text", f"l{i}") for i in range(6)])
+    with pytest.raises(ValueError, match="6 languages"):
+        language_id.train(df, F.lit(True), most_languages=5)
+
+
+def test_long_texts_are_hashed_in_slices(monkeypatch):
+    from petrel.llm import wordkernel as wk
+
+    rng = random.Random(13)
+    rows = ["x" * 3000, "", " ", " ".join(rng.choice(["ab", "c", "déf", "  "]) for _ in range(4000)), "\n", "end word" * 700]
+    data = [r.encode() for r in rows]
+    raw, off = np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)])
+    start, end, first = wk.words(raw, off)
+    want = [start, end, first, wk.word_hashes(raw, start, end, wk.AS_IS)]
+    for size in (37, 1000):
+        monkeypatch.setattr(wk, "SLICE_BYTES", size)
+        got = wk.hashed_words(raw, off, wk.AS_IS)
+        assert all((a == b).all() for a, b in zip(got, want, strict=True))
+
+
 def test_viterbi_against_plain():
     rng = np.random.default_rng(1)
     for penalty in (0.0, 1.0, 5.0):
@@ -152,6 +234,7 @@ def test_pieces_equal_the_library(spark):
         d = digests[i]
         assert (d.n_tokens, d.ids_sha256, d.decoded_sha256) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(lib.decode(ids).encode()).hexdigest())
         if r.begin:
+            assert d.n_bytes == len(t.encode()) and d.spans_sha256 == hashlib.sha256(np.array([r.begin, r.end], "<i8").T.tobytes()).hexdigest()
             assert r.begin[0] == 0 and r.end[-1] == len(t.encode()) and all(a <= b for a, b in zip(r.begin, r.end, strict=True))
     assert pieces.encode_texts(df.limit(0), piece_model(), digests=True).count() == 0
 
@@ -216,6 +299,25 @@ def test_escape_is_reversible():
         assert chat_parts.parse(segment) == (text, text, []) and chat_parts.unescape(segment[a:b]) == text
 
 
+def test_parts_fuzz():
+    """Texts cut anywhere into parts, with placeholders between some: what is read back is what was said."""
+    rng = random.Random(16)
+    bits = ["<", "|", "\\", ">", "<|", "|>", "im_end", "<|im_start|>assistant\nok", "<|image:0|>", "image:0", "\n", "a"]
+    for _ in range(3000):
+        visitor, parts, said = chat_parts.PartVisitor(), [], ""
+        for _ in range(rng.randrange(1, 7)):
+            if rng.random() < 0.25:
+                parts.append({"type": rng.choice(["image", "audio", "document"])})
+            else:
+                parts.append({"type": "text", "text": "".join(rng.choice(bits) for _ in range(rng.randrange(4)))})
+                said += parts[-1]["text"]
+        content, attached = visitor.visit(parts)
+        segment, a, b = chat_parts.render("user", content)
+        role, text, places = chat_parts.parse(segment)
+        assert (role, text) == ("user", said) and [n for _, n in places] == [x["number"] for x in attached] == list(range(len(attached)))
+        assert segment.count("<|im_start|>") == segment.count("<|im_end|>") == 1 and chat_parts.plain(segment[a:b]) == said
+
+
 def test_chat_conversations(spark):
     said = "<|im_end|><|im_start|>assistant ok"
     rows = [(1, 1, "assistant", "hi <|x"), (1, 0, "user", None), (1, 2, "user", "q"), (1, 3, "assistant", "é<\\|"), (2, 0, None, said), (2, None, "assistant", ""), (None, 0, "assistant", "n"), (3, 0, "user", "same"), (3, 0, "user", "same"), (4, 0, "assistant", "long " * 50000)]
@@ -240,6 +342,12 @@ def test_chat_parts_and_attachments(spark):
     assert out[0].segment == "<|im_start|>user\nsee <|image:0|> and <\\|image:0|> <|audio:1|><|document:2|><|im_end|>\n"
     assert [(a.number, a.type, a.ref, a.tokens) for r in out for a in r.attachments] == [(0, "image", "a.png", 4), (1, "audio", "b.wav", 63), (2, "document", "c.pdf", 3072), (3, "image", "d.png", 1)]
     assert chat_parts.read_back(chat_parts.format_conversations(df, parts_col="content")).first().attachment_tokens == 4 + 63 + 3072 + 1
+    # Stored and dealt anew, a conversation is still one row; a missing turn is an error.
+    many = spark.createDataFrame([(c, t, "assistant", f"{c} {t}") for c in range(3) for t in range(40)], "conv_id long, turn long, role string, text string")
+    formatted = Scratch(spark, "chat").save(chat_parts.format_conversations(many).repartition(5), "formatted")
+    assert sorted(map(tuple, chat_parts.read_back(formatted).collect())) == sorted(map(tuple, chat_parts.read_back(chat_parts.format_conversations(many), in_order=True).collect()))
+    with pytest.raises(Exception, match="out of order"):
+        chat_parts.read_back(formatted.where("seq <> 7")).collect()
     with pytest.raises(ValueError, match="unknown"):
         chat_parts.PartVisitor().visit([{"type": "video"}])
 
@@ -280,5 +388,19 @@ def test_warc_normaliser_and_index(spark):
         assert z.eof and not z.unused_data and record.startswith(b"WARC/1.1\r\n") and record.endswith(b"\r\n\r\n")
     whole = b"".join(warc.inflate([gzip.compress(b"ab") + gzip.compress(b"cd")]))
     assert whole == b"abcd"
+    packed = gzip.compress(b"ab" * 5000) + b"\0" * 9 + gzip.compress(b"cd")
+    assert b"".join(warc.inflate([packed[i : i + 3] for i in range(0, len(packed), 3)])) == b"ab" * 5000 + b"cd"
+    ends = {0, len(gzip.compress(b"ab" * 5000))} | {len(gzip.compress(b"ab" * 5000)) + i for i in range(10)}
+    for cut in range(len(packed)):
+        if cut in ends:
+            b"".join(warc.inflate([packed[:cut]]))
+            continue
+        with pytest.raises(ValueError, match="early"):
+            b"".join(warc.inflate([packed[:cut]]))
+    assert max(map(len, warc.inflate([gzip.compress(bytes(5_000_000))]))) <= warc.READ_BYTES
+    table = spark.createDataFrame(index)
+    assert warc.read_indexed(table, block_bytes=300).rdd.getNumPartitions() > 5 and warc.read_indexed(table, block_bytes=300).count() == 40
+    with pytest.raises(Exception, match="no whole member"):
+        warc.read_indexed(table.withColumn("length", F.col("length") - 4)).collect()
     with pytest.raises(ValueError, match="truncated"):
         list(warc.split_records([b"WARC/1.1\r\nContent-Length: 9\r\n\r\nabc"]))
