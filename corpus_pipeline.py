@@ -44,7 +44,11 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document, the one with the smallest id, of each group of near duplicates."""
+    """Keep one document, the one with the smallest id, of each group of near duplicates.
+
+    Rows that share an id are one document, of which one row stays; a row without an id cannot be the smallest of
+    its group and is in no group, so it stays.
+    """
     found = jaccard_components(docs, k=5, percent=80)
     scratch = Scratch(spark, "near-dups")
     found = scratch.save(found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("component_id").alias("c"), F.count("*").alias("n")).where("c <> doc_id OR n > 1"), "found")
@@ -65,14 +69,21 @@ def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
+    """Each row as often as the mix takes it; rows that are equal in all columns share their copies evenly."""
     scratch = Scratch(spark, "mix-copies")
-    copies = mix_sources(docs, weights=(5, 2, 1), cap=3).groupBy(F.col("doc_id").alias("of")).agg(F.max("copies").alias("copies"))
-    copies = scratch.save(copies.where("copies > 0"), "copies")
-    # 16 bytes a row behind a checked count; more are joined by a shuffle.
-    copies = F.broadcast(copies) if copies.count() <= 1_000_000 else copies
-    rows = docs.select(*COLUMNS).join(copies, F.col("doc_id").eqNullSafe(F.col("of")))
-    return rows.select(*COLUMNS, F.explode(F.expr("sequence(1, cast(copies AS int))")).alias("copy")).select(*COLUMNS)
+    key = F.struct("doc_id", F.xxhash64(*COLUMNS[1:]).alias("h"))
+    keyed = docs.select(key.alias("key"), "text", "source")
+    copies = mix_sources(keyed, weights=(5, 2, 1), id_col="key", cap=3).groupBy("key").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"))
+    copies = scratch.save(copies.where("copies > 0").select(F.col("key.doc_id").alias("of"), F.col("key.h").alias("of_h"), "copies", "rows"), "copies")
+    rows = docs.select(*COLUMNS, F.xxhash64(*COLUMNS[1:]).alias("h"))
+    # 40 bytes a row behind a checked count; more are joined by a shuffle.
+    small = F.broadcast(copies) if copies.count() <= 1_000_000 else copies
+    rows = rows.join(small, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("h") == F.col("of_h")))
+    # Equal rows are told apart only where there are some.
+    alone = rows.where("rows = 1").withColumn("n", F.col("copies").cast("int"))
+    place = F.row_number().over(Window.partitionBy("doc_id", "h").orderBy("doc_id"))
+    equal = rows.where("rows > 1").withColumn("place", place).withColumn("n", F.expr("cast(copies div rows + CASE WHEN place <= copies % rows THEN 1 ELSE 0 END AS int)")).drop("place")
+    return alone.union(equal).where("n > 0").select(*COLUMNS, F.explode(F.expr("sequence(1, n)")).alias("copy")).select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -88,7 +99,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("pieces", encode),
 ]
 
-#: No SQL: learned models, mixing by hashes and piece ids are beyond it; tests compare with a brute-force version.
+#: No SQL: learned models, mixing by hashes and piece ids are beyond it; the tests hold each stage against a plain version.
 ORACLE_SQL = None
 
 
