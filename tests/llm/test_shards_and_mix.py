@@ -1,8 +1,9 @@
 """Sharding, numbering, mixing and the pipeline."""
 
+import hashlib
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
@@ -222,6 +223,29 @@ def test_pipeline_against_plain_stages(spark):
     assert mixed.columns == c.COLUMNS and 0 < mixed.count() <= 3 * len(cut)
     out = c.encode(spark, mixed, "")
     assert out.count() == mixed.count() and [n for n, _ in c.STAGES] == ["language", "near_dups", "substrings", "mix", "pieces"]
+    # Mixing and pieces, row by row: every source near its target, no row over three times, and the library's ids.
+    extra = [(500, "equal rows of some words", "en", "s1")] * 5 + [(None, text(9), "en", "s2"), (None, text(11), "en", "s2"), (501, text(8), "en", "s0"), (501, text(14), "en", "s0")]
+    before = list(cut.values()) + documents(spark, extra, clash=False).select(c.COLUMNS).collect()
+    mixed = c.mix(spark, spark.createDataFrame(before, kept.schema), "").collect()
+    had, got = Counter((r.doc_id, r.text, r.source) for r in before), Counter((r.doc_id, r.text, r.source) for r in mixed)
+    assert all(n <= 3 * had[r] for r, n in got.items())
+    names = sorted({r.source for r in before})
+    sizes = [sum(len(words(r.text)) for r in before if r.source == s) for s in names]
+    for s, want in zip(names, capped_targets(sizes, [(5, 2, 1)[i % 3] for i in range(len(names))]), strict=True):
+        least = min(len(words(r.text)) for r in before if r.source == s)
+        assert abs(sum(len(words(t)) * n for (_, t, of), n in got.items() if of == s) - want) <= least
+    import sentencepiece
+
+    from petrel.llm.queries import piece_model
+
+    lib = sentencepiece.SentencePieceProcessor(model_proto=piece_model())
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    want = []
+    for r in mixed:
+        ids = [*lib.encode(r.text), lib.eos_id()]
+        want.append((r.doc_id, len(ids), sha(" ".join(map(str, ids))), sha(lib.decode(ids))))
+    out = c.encode(spark, spark.createDataFrame(mixed, kept.schema), "").select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect()
+    assert sorted(map(str, map(tuple, out))) == sorted(map(str, want))
     empty = docs.limit(0)
     for _, stage in c.STAGES:
         assert stage(spark, empty, "").count() == 0
