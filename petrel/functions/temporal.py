@@ -11,11 +11,13 @@ from pyspark.sql import Column, functions as F
 
 SAS_EPOCH = "1960-01-01"
 SAS_TO_UNIX = 315_619_200  # seconds from 1960-01-01 to 1970-01-01
-_ZONE = r"([Zz]|[+-](0[0-9]|1[0-8]):[0-5][0-9](:[0-5][0-9])?)?"
+_OFFSET = r"([Zz]|[+-]((0[0-9]|1[0-7]):[0-5][0-9](:[0-5][0-9])?|18:00(:00)?))"  # up to 18 hours
+_ZONE = rf"{_OFFSET}?"
+_REGION = r"\[[A-Za-z][A-Za-z0-9~/._+-]+\]"  # may follow an offset, which alone decides the moment
 _CLOCK = r"([01][0-9]|2[0-3]):[0-5][0-9](:[0-5][0-9](\.[0-9]{1,9})?)?"
 DATE = rf"^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}{_ZONE}$"
 TIME = rf"^{_CLOCK}{_ZONE}$"
-DATETIME = rf"^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}[Tt]{_CLOCK}{_ZONE}$"
+DATETIME = rf"^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}[Tt]{_CLOCK}({_OFFSET}({_REGION})?)?$"
 
 
 def _number(x: Column) -> Column:
@@ -40,7 +42,7 @@ def _days(text: Column) -> Column:
 
 def sas_datetime(text: Column) -> Column:
     """ISO datetime to seconds since 1960; offsets go to UTC, a naive value is UTC; null where it is no datetime."""
-    return F.when(text.rlike(DATETIME), _days(text) * 86400.0 + _clock_seconds(F.substring(text, 12, 64)))
+    return F.when(text.rlike(DATETIME), _days(text) * 86400.0 + _clock_seconds(F.regexp_replace(F.substring(text, 12, 128), r"\[.*$", "")))
 
 
 def sas_date(text: Column) -> Column:

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
+from ..codecs.cells import texts
 from ..codecs import rdc, rle
 from ..codecs.charsets import charset_of, python_codec
 from .files import Reader, flag, listed
@@ -319,7 +320,7 @@ def decode_column(h: Header, c: Column, rows: np.ndarray, encoding: str, missing
     cells = np.ascontiguousarray(rows[:, c.offset : c.offset + c.width])
     n = len(cells)
     if not c.numeric:
-        return pa.array([bytes(x).rstrip(b" \0").decode(encoding) for x in cells], pa.string())
+        return texts(cells, encoding)
     order = "<" if h.little else ">"
     if c.width == 1:
         values = (cells[:, 0] != 0).astype(np.float64) if n else np.zeros(0)

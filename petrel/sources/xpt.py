@@ -7,7 +7,10 @@ of whole observations to Arrow.  Options: ``member`` (name; the first one otherw
 ``columns`` (comma-separated, for pruning), ``encoding`` (ISO-8859-1), ``trim`` (true),
 ``missingTags`` (adds NAME__mv with a missing value's tag), ``blankFrame`` (``end``: an
 all-blank observation ends the member, as the format's padding does; ``padding``: only
-trailing ones do), ``partitionBytes`` (32 MB).  A folder's files must have one layout.
+trailing ones do), ``oneMember`` (no further member follows: with ``padding`` the driver then
+reads a file's head and tail only), ``partitionBytes`` (32 MB).  The format holds no counts,
+so otherwise the driver reads the member's bytes once to find its end.  A folder's files must
+have one layout.
 """
 
 from __future__ import annotations
@@ -23,6 +26,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from ..codecs import ibm
+from ..codecs.cells import texts
 from ..codecs.charsets import python_codec
 from .files import Reader, flag, listed
 
@@ -103,8 +107,9 @@ def _next_member(file: Reader, at: int) -> int:
     return file.size
 
 
-def parse_library(uri: str, first_member_only: bool = False) -> LibraryHeader:
-    """Headers of a transport file and where its members' observations are."""
+def parse_library(uri: str, until: str | None = None) -> LibraryHeader:
+    """Headers of a transport file and where its members' observations are; with ``until`` only as far as the member
+    of that name, or the first one for ``""``, whose own end is not looked for."""
     with Reader(uri) as file:
         head = file.at(0, 3 * RECORD)
         if not head.startswith(TAG + b"LIBRARY HEADER RECORD"):
@@ -126,7 +131,8 @@ def parse_library(uri: str, first_member_only: bool = False) -> LibraryHeader:
             if not file.at(start, RECORD).startswith(TAG + b"OBS     HEADER RECORD"):
                 raise ValueError(f"{uri}: member {_text(a[8:16])} without its observation header")
             start += RECORD
-            end = file.size if first_member_only else _next_member(file, start)
+            last = until is not None and until in ("", _text(a[8:16]))
+            end = file.size if last else _next_member(file, start)
             member = Member(_text(a[8:16]), _text(b[32:72]), _text(b[72:80]), _text(a[24:32]), _text(a[32:40]), _text(a[64:80]), _text(b[:16]), size, start, end)
             for i in range(count):
                 kind, nhash, length, number, name, label, fname, fl, fd, fj, iname, il, idec, pos = NAMESTR.unpack_from(raw, i * size)
@@ -134,37 +140,51 @@ def parse_library(uri: str, first_member_only: bool = False) -> LibraryHeader:
                     raise ValueError(f"Invalid variable type id: {kind}")
                 member.variables.append(Variable(_text(name), _text(label), kind == 1, length, pos, number, nhash, (_text(fname), fl, fd, fj), (_text(iname), il, idec)))
             lib.members.append(member)
-            if first_member_only:
-                member.end = _data_end(file, member, "end", found_next=True)[1]
+            if last:
                 break
             at = end
         return lib
 
 
-def _data_end(file: Reader, m: Member, blank_frame: str, found_next: bool = False) -> tuple[int, int]:
-    """Number of observations and where the member ends, by the three end rules.
+def observations(file: Reader, m: Member, blank_frame: str = "end", one_member: bool = False) -> int:
+    """Number of a member's observations by the format's end rules, in one pass over its bytes.
 
-    A look-alike needs the whole 20-byte tag after blanks; a short rest must be blank; an all-blank
-    observation ends the member (or, with ``padding``, only where nothing but blanks follows).
+    The member ends where an observation would begin with the whole 20-byte tag of a header record after nothing but
+    blanks, wherever the tag lies; at an all-blank observation (or, with ``padding``, only where nothing but blanks
+    follows); else with the file, of which a short rest must be blank.  With ``padding`` and ``one_member`` the file is
+    known to hold no further header, and only its last observations are read.
     """
-    width = m.width
-    end = _next_member(file, m.first) if found_next else m.end
-    whole, rest = divmod(end - m.first, width) if width else (0, 0)
-    if rest and file.at(end - rest, rest).strip(b" "):
-        raise ValueError("Truncated XPT file")
-    count = whole
-    step = max(1, SCAN // max(1, width))
-    if blank_frame == "end":
-        for k in range(0, whole, step):
-            n = min(step, whole - k)
-            frames = np.frombuffer(file.at(m.first + k * width, n * width), np.uint8).reshape(n, width)
+    width, size = m.width, file.size - m.first
+    if not width:
+        return 0
+    whole, ended = size // width, False
+    step = max(1, SCAN // width)
+    for k in range(0, 0 if one_member and blank_frame == "padding" else -(-size // width), step):
+        n = min(step, whole - k)
+        raw = file.at(m.first + k * width, step * width + len(TAG) - 1)
+        ends = []
+        q = raw.find(TAG)
+        while 0 <= q < step * width:
+            if not raw[q // width * width : q].strip(b" "):
+                ends.append(k + q // width)
+                break
+            q = raw.find(TAG, q + 1)
+        tagged = bool(ends)
+        if blank_frame == "end" and n > 0:
+            frames = np.frombuffer(raw, np.uint8, n * width).reshape(n, width)
             blank = np.flatnonzero((frames[:, 0] == 32) & (frames == 32).all(axis=1))
-            if len(blank):
-                return k + int(blank[0]), end
-    else:
-        while count and not file.at(m.first + (count - 1) * width, width).strip(b" "):
-            count -= 1
-    return count, end
+            ends += [k + int(blank[0])] if len(blank) else []
+        if ends:
+            if blank_frame == "end" or not tagged:
+                return min(ends)
+            whole, ended = ends[0], True
+            break
+    if not ended and file.at(m.first + whole * width, size - whole * width).strip(b" "):
+        raise ValueError("Truncated XPT file")
+    if blank_frame == "padding":
+        while whole and not file.at(m.first + (whole - 1) * width, width).strip(b" "):
+            whole -= 1
+    return whole
 
 
 @dataclass
@@ -183,10 +203,7 @@ def decode_frames(raw: bytes, count: int, variables: list[Variable], width: int,
         v = by_name[of]
         part = np.ascontiguousarray(frames[:, v.position : v.position + v.length])
         if not v.numeric:
-            cells = part.view(f"S{v.length}").reshape(-1) if count else np.zeros(0, "S1")
-            # numpy's S drops trailing NULs only; full cells are cut from the bytes where blanks must stay.
-            texts = [c.rstrip(b" \0").decode(encoding) for c in cells.tolist()] if trim else [bytes(p).decode(encoding) for p in part]
-            arrays.append(pa.array(texts, pa.string()))
+            arrays.append(texts(part, encoding, trim))
             continue
         values, missing, lead = ibm.decode(part)
         if of is name or of == name:
@@ -205,8 +222,8 @@ class XptSource(DataSource):
         return listed(self.options["path"], ".xpt")
 
     def _member(self, uri: str) -> Member:
-        lib = parse_library(uri, flag(self.options, "firstMemberOnly"))
         wanted = self.options.get("member")
+        lib = parse_library(uri, "" if wanted is None or flag(self.options, "firstMemberOnly") else wanted)
         found = [m for m in lib.members if wanted is None or m.name == wanted]
         if not found:
             raise ValueError(f"{uri}: no member {wanted!r}" if wanted else f"{uri}: no members")
@@ -246,7 +263,7 @@ class XptReader(DataSourceReader):
                 raise ValueError(f"{uri}: its variables differ from those of the first file")
             self.variables, self.width = m.variables, m.width
             with Reader(uri) as file:
-                count, _ = _data_end(file, m, o.get("blankFrame", "end"))
+                count = observations(file, m, o.get("blankFrame", "end"), flag(o, "oneMember"))
             step = max(1, target // max(1, m.width))
             self.runs += [Run(uri, m.first + k * m.width, min(step, count - k)) for k in range(0, count, step)]
 

@@ -81,13 +81,59 @@ def test_x5_ends(spark, tmp_path):
     blank = write(tmp_path / "c.xpt", E.xpt_file([E.xpt_member("M", text(["a", "", "b"], 20))]))
     assert rows_of(spark.read.format("xpt").load(blank)) == [("a",)]
     assert rows_of(spark.read.format("xpt").option("blankFrame", "padding").load(blank)) == [("a",), ("",), ("b",)]
-    cut = E.xpt_file([E.xpt_member("M", text(["a" * 30] * 8, 30))])[:-30]
+    # Eight cells of 30 bytes are three whole records: cut inside an observation.
+    cut = E.xpt_file([E.xpt_member("M", text(["a" * 30] * 8, 30))])[:-10]
     with pytest.raises(Exception, match="Truncated"):
         spark.read.format("xpt").load(write(tmp_path / "d.xpt", cut)).collect()
     with pytest.raises(Exception, match="not a version 5"):
         spark.read.format("xpt").load(write(tmp_path / "e.xpt", b"x" * 400)).collect()
 
 
+TAG = b"HEADER RECORD*******"
+
+
+@pytest.mark.parametrize("blank", ["end", "padding"])
+@pytest.mark.parametrize(("width", "data", "want"), [
+    (20, b"A" * 20 + TAG, ["A" * 20]),  # the tag fills an observation
+    (25, b"A" * 25 + b" " * 5 + TAG, ["A" * 25]),  # the tag fills the rest of one
+    (30, b"A" * 30 + b" " * 20 + TAG + b" " * 60, ["A" * 30]),  # the tag is split over two
+    (7, b"A" * 7 + TAG + b"B" * 29, ["A" * 7]),  # over many
+    (25, b"A" * 25 + b"HEADER RECORD**HELLO12345", ["A" * 25, "HEADER RECORD**HELLO12345"]),  # no whole tag
+    (30, b"A" * 30 + b" " * 20 + b"HEADER REC" + b"B" * 30, ["A" * 30, " " * 20 + "HEADER REC", "B" * 30]),  # nor one
+    (30, b"A" * 25 + TAG[:5] + TAG[5:] + b"C" * 15, ["A" * 25 + "HEADE", "R RECORD*******" + "C" * 15]),  # not after blanks
+    (30, b"A" * 30 + b" " * 50, ["A" * 30]),  # a short blank rest
+])
+def test_x5_tags(spark, tmp_path, width, data, want, blank):
+    whole = E.xpt_file([E.xpt_member("M", [("T", E.char_cells(["z" * width], width), False)])])
+    head = whole[: whole.index(b"z" * width)]
+    path = write(tmp_path / "a.xpt", head + data)
+    df = spark.read.format("xpt").option("blankFrame", blank).load(path)
+    assert [r.T for r in df.collect()] == want
+
+
+def test_x5_truncated_and_one_member(spark, tmp_path):
+    whole = E.xpt_file([E.xpt_member("M", [("T", E.char_cells(["z" * 30], 30), False)])])
+    head = whole[: whole.index(b"z" * 30)]
+    with pytest.raises(Exception, match="Truncated"):
+        spark.read.format("xpt").load(write(tmp_path / "a.xpt", head + b"A" * 30 + b"B" * 12)).collect()
+    path = write(tmp_path / "b.xpt", head + b"A" * 60 + b" " * 20)
+    load = spark.read.format("xpt").option("blankFrame", "padding").option("oneMember", "true")
+    assert load.load(path).count() == 2
+
+
+def test_cells_in_bulk():
+    from petrel.codecs.cells import texts
+
+    plain = lambda cells, enc, trim: [(bytes(c).rstrip(b" \0") if trim else bytes(c)).decode(enc) for c in cells]
+    for enc, words in (("utf-8", ["é x", "", "日本", " a\0"]), ("iso8859-1", ["é x", "", "abc ", "\0"]), ("cp1252", ["plain", "text"]), ("cp037", ["ABC", "x y"]), ("shift_jis", ["日本", "a\\b"])):
+        raw = [w.encode(enc) for w in words]
+        pad = " ".encode(enc)
+        cells = np.frombuffer(b"".join(x + pad * (12 - len(x)) for x in raw), np.uint8).reshape(len(raw), 12)
+        for trim in (True, False):
+            assert texts(cells, enc, trim).to_pylist() == plain(cells, enc, trim)
+    assert texts(np.zeros((0, 4), np.uint8), "utf-8").to_pylist() == []
+
+
 def table(n=500):
     rng = np.random.default_rng(5)
     return np.arange(n, dtype=float), rng.normal(size=n), [f"row {i} é" for i in range(n)]
