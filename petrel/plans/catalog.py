@@ -6,6 +6,8 @@ writers, read back by the source, and must equal the table.
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -100,7 +102,7 @@ def dsj_columns(spark, sf_dir):
 
 def dsj_key_order(spark, sf_dir):
     rows = dsj.read_dsj(spark, orders_dsj(spark, sf_dir))
-    return rows.orderBy(*tables.key_order(rows)).limit(100).select(F.col("ORDERKEY").alias("orderkey"))
+    return rows.orderBy(*tables.key_order(rows)).select(F.col("ORDERKEY").alias("orderkey"))
 
 
 def dsj_key_rank(spark, sf_dir):
@@ -109,6 +111,91 @@ def dsj_key_rank(spark, sf_dir):
     return tables.key_ranked(rows, fixtures.folder(spark, "dsj-ranked")).select("key_rank", F.col("ORDERKEY").alias("orderkey"))
 
 
+_META = {"datasetJSONCreationDateTime": "2025-01-01T00:00:00", "datasetJSONVersion": "1.1.0", "itemGroupOID": "IG.T", "name": "T", "label": "t"}
+_TWO = [_column("N", "integer"), _column("S", "string")]
+
+
+def _head(columns=_TWO, **more) -> dict:
+    return _META | ({} if columns is None else {"columns": columns}) | more
+
+
+def _lines(head: dict, *rows: str) -> str:
+    return "\n".join([json.dumps(head), *rows]) + "\n"
+
+
+def _nested(head: dict, tail: str) -> str:
+    return json.dumps(head)[:-1] + tail
+
+
+#: What a file holds and what reading it gives: its number of rows, or a part of the error's text.
+INTEGRITY = [
+    ("A2 too short", "{", "too short"),
+    ("A2 other bytes", "<xml/>", "not Dataset-JSON"),
+    ("A7 unknown members", _lines(_head(extra={"deep": [1, 2.5, None, True, {"x": "y"}]}, huge=10**30), '[1, "a"]'), "1 rows"),
+    ("A7 not a number", _lines(_head(), '[1, "a"]').replace('"T"', "NaN", 1), "is not JSON"),
+    ("A8 column without type", _lines(_head([{k: v for k, v in _column("N", "integer").items() if k != "dataType"}]), "[1]"), "missing dataType"),
+    ("A9 rows before columns", _nested(_head(None), ', "rows": [[1, "a"]], "columns": []}'), "columns must come before the rows"),
+    ("A9 no columns", _lines(_head(None)), "missing columns"),
+    ("A10 member after rows", _nested(_head(), ', "rows": [[1, "a"], [2, "b"]], "more": 1}'), "2 rows"),
+    ("A11 rows twice", _nested(_head(), ', "rows": [[1, "a"]], "rows": [[2, "b"]]}'), "Rows already parsed"),
+    ("A12 no rows", _lines(_head()), "0 rows"),
+    ("A12 empty rows", _nested(_head(records=0), ', "rows": []}'), "0 rows"),
+    ("A13 few values", _lines(_head(), '[1, "a"]', "[2]"), "has 1 values, 2 expected"),
+    ("A13 many values", _lines(_head(), '[1, "a", 3]'), "has 3 values, 2 expected"),
+    ("A14 row is an object", _lines(_head(), '{"N": 1}'), "not a row"),
+    ("A14 stray bracket", _lines(_head(), '[1, "a"]]'), "not a row"),
+    ("A14 nested row is a number", _nested(_head(), ', "rows": [7]}'), "not a row"),
+    ("A15 fewer records", _lines(_head(records=3), '[1, "a"]'), "3 records declared, 1 found"),
+    ("A15 right records", _lines(_head(records=1), '[1, "a"]'), "1 rows"),
+    ("A16 records absent", _lines(_head(), '[1, "a"]'), "1 rows"),
+    ("A16 records as text", _lines(_head(records="five"), '[1, "a"]'), "1 rows"),
+    ("A16 records beyond long", _lines(_head(records=10**20), '[1, "a"]'), "does not fit 64 bits"),
+    ("A17 length beyond int", _lines(_head([_column("N", "integer") | {"length": 1 << 40}]), "[1]"), "does not fit 32 bits"),
+    ("A17 key beyond int", _lines(_head([_column("N", "integer", key=1 << 33)]), "[1]"), "does not fit 32 bits"),
+    ("A18 system is a text", _lines(_head(sourceSystem="x"), '[1, "a"]'), "1 rows"),
+    ("A18 system without version", _lines(_head(sourceSystem={"name": "x"}), '[1, "a"]'), "sourceSystem without version"),
+    ("C3 text in numbers", _lines(_head(), '["1", "a"]'), "Invalid value in N"),
+    ("C3 truth in numbers", _lines(_head(), '[true, "a"]'), "Invalid value in N"),
+    ("C3 null in numbers", _lines(_head(), '[null, "a"]'), "1 rows"),
+    ("C4 any value in texts", _lines(_head(), "[1, 12]", "[2, true]", '[3, {"k": [1]}]', "[4, null]"), "4 rows"),
+]
+
+
+def dsj_integrity(spark, sf_dir):
+    """Files that keep or break the format's rules, one by one: what reading each gives."""
+    configure(spark)
+    path = fixtures.folder(spark, "dsj-integrity")
+    found = []
+    for i, (case, text, want) in enumerate(INTEGRITY):
+        name = f"{path}/case{i}.json"
+        fixtures.write_bytes(name, text.encode())
+        try:
+            found.append((case, f"{len(dsj.read_dsj(spark, name).collect())} rows"))  # a handful of rows each
+        except Exception as error:  # noqa: BLE001  the outcome under test
+            found.append((case, want if want in str(error) else f"{type(error).__name__}: {str(error)[:200]}"))
+    return spark.createDataFrame(found, "case string, outcome string")
+
+
+INTEGRITY_SQL = "SELECT * FROM (VALUES " + ", ".join(f"('{case}', '{want}')" for case, _, want in INTEGRITY) + ') t("case", outcome)'
+
+
+def dsj_string_cells(spark, sf_dir):
+    """C4: what the string buffer holds of numbers, truth values, objects and nulls."""
+    configure(spark)
+    path = f"{fixtures.folder(spark, 'dsj-cells')}/cells.json"
+    cells = ["1", "12345678901234567890", "true", "null", '"a \\" b"', '{"k":[1,2]}', "[1,null]"]
+    fixtures.write_bytes(path, _lines(_head(), *(f"[{i}, {x}]" for i, x in enumerate(cells))).encode())
+    return dsj.read_dsj(spark, path).select(F.col("N").alias("n"), F.col("S").alias("s"))
+
+
+def dsj_folder_rows(spark, sf_dir):
+    """A6, A26: many files of one layout in one plan, the rows of each numbered from 0."""
+    path = fixtures.folder(spark, "dsj-many")
+    fixtures.write_files(_orders(spark, sf_dir).repartition(40, "o_orderkey").sortWithinPartitions("o_orderkey"), path, fixtures.dsj_bytes(ORDER_COLUMNS, name="ORDERS"), ".ndjson")
+    rows = dsj.read_dsj(spark, path, row_index=True)
+    return rows.agg(F.count("*").alias("n"), F.sum("ORDERKEY").alias("keys"), F.count_if(F.col("_row_index") == 0).alias("firsts"))
+
+
 def container_kinds(spark, sf_dir):
     """First bytes to container, on every order key as four bytes behind a chosen pair."""
     o = _t(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") % 5).alias("k"))
@@ -145,6 +232,35 @@ def _two_members(spark, sf_dir):
     return fixtures.write_files(nations, path, fixtures.xpt_bytes({"n_name": 25}, {"n_nationkey": "KEY", "n_name": "NAME"}, "NATION", [more]), ".xpt")
 
 
+def xpt_member_ends(spark, sf_dir):
+    """X5: names of customers as 30-byte cells, of which some are blank, and what ends the member after them."""
+    names = ["A" * 30]
+    tag = "HEADER RECORD*******"
+    cases = [("tag after padding", " " * 20 + tag + " " * 60), ("tag in one observation", " " * 10 + tag), ("tag at its start", tag + " " * 10), ("look-alike", "HEADER RECORD**HELLO".ljust(30)), ("tag not after blanks", "B" + tag + "C" * 9), ("blank rest", " " * 50), ("blank observation", " " * 30 + "D" * 30), ("data in the rest", "E" * 12)]
+    path, found = fixtures.folder(spark, "xpt-ends"), []
+    whole = encoders.xpt_file([encoders.xpt_member("M", [("T", encoders.char_cells(names, 30), False)])])
+    head = whole[: whole.index(b"A" * 30)]
+    configure(spark)
+    for i, (case, rest) in enumerate(cases):
+        name = f"{path}/case{i}.xpt"
+        fixtures.write_bytes(name, head + b"A" * 30 + rest.encode())
+        for blank in ("end", "padding"):
+            try:
+                n = str(spark.read.format("xpt").option("blankFrame", blank).load(name).count())
+            except Exception as error:  # noqa: BLE001  the outcome under test
+                n = "truncated" if "Truncated XPT file" in str(error) else str(error)[:200]
+            found.append((case, blank, n))
+    return spark.createDataFrame(found, "case string, blank string, outcome string")
+
+
+XPT_ENDS_SQL = """
+SELECT c AS "case", b AS blank, CASE b WHEN 'end' THEN e ELSE p END AS outcome FROM (VALUES
+  ('tag after padding', '1', '1'), ('tag in one observation', '1', '1'), ('tag at its start', '1', '1'), ('look-alike', '2', '2'),
+  ('tag not after blanks', '2', '2'), ('blank rest', '1', '1'), ('blank observation', '1', '3'), ('data in the rest', 'truncated', 'truncated')) t(c, e, p),
+  (VALUES ('end'), ('padding')) u(b)
+"""
+
+
 def xpt_members(spark, sf_dir):
     path = _two_members(spark, sf_dir)
     parts = [spark.read.format("xpt").option("member", m).load(path).select(F.lit(m).alias("member"), F.col("KEY").alias("key"), F.col("NAME").alias("name")) for m in ("NATION", "REGION")]
@@ -222,6 +338,18 @@ def bdat_deleted_counts(spark, sf_dir):
     return tables.deleted_count(spark.read.format("sas7bdat").option("includeDeleted", "true").load(path))
 
 
+def bdat_deleted_page(spark, sf_dir):
+    """B30: the first hundred customers are deleted, so whole pages are, and the rows behind them still come."""
+    gone = lambda table: table.column("c_custkey").to_numpy() <= 100
+    return spark.read.format("sas7bdat").option("verify", "true").load(customer_bdat(spark, sf_dir, deleted=gone))
+
+
+def bdat_headers(spark, sf_dir):
+    """B6: the fields of a file's last header part are read and alike in all files."""
+    d = metadata.bdat_datasets(spark, customer_bdat(spark, sf_dir))
+    return d.groupBy("server", "os_name").agg((F.count("*") > 0).alias("some")).select(F.col("server").isNotNull().alias("server"), F.col("os_name").isNotNull().alias("os_name"), "some")
+
+
 def bdat_datasets(spark, sf_dir):
     path = customer_bdat(spark, sf_dir, compression="SASYZCRL", deleted=_seventh)
     d = metadata.bdat_datasets(spark, path)
@@ -393,6 +521,23 @@ def target_mapping(spark, sf_dir):
     return out
 
 
+def unix_mapping(spark, sf_dir):
+    """V4f: the way back from Unix numbers by data type; other types stay as they are."""
+    o = _t(spark, sf_dir, "orders").select("o_orderkey", F.datediff("o_orderdate", F.lit("1970-01-01").cast("date")).cast("double").alias("days"))
+    value = {"date": F.col("days"), "datetime": F.col("days") * 86400, "string": F.col("days")}
+    return o.select("o_orderkey", *[mapping.unix_inverse_mapper(kind)(x).cast("string").alias(f"of_{kind}") for kind, x in value.items()])
+
+
+def sas_datetime_regions(spark, sf_dir):
+    """V1: offsets of up to 18 hours, and regions behind them, which do not change the moment."""
+    configure(spark)
+    rows = spark.createDataFrame([(x,) for x, _ in REGIONS], "text string")
+    return rows.select("text", temporal.sas_datetime(F.col("text")).alias("seconds"))
+
+
+REGIONS = [("1960-01-02T01:00:00+01:00[Europe/Paris]", 86400), ("1960-01-02T00:00:00Z[UTC]", 86400), ("1960-01-02T00:00:00[Europe/Paris]", None), ("1960-01-02T18:00:00+18:00", 86400), ("1960-01-02T18:30:00+18:30", None), ("1960-01-01T06:00:00-18:00", 86400), ("1960-01-02T00:00:00+00:00[]", None), ("1960-01-02T00:00:30+00:00:30", 86400)]
+
+
 def encoding_lookup(spark, sf_dir):
     """Encoding ids, their character sets, and which id a name maps back to."""
     configure(spark)
@@ -416,12 +561,16 @@ QUERIES = {
     "dsj_record_count": (dsj_record_count, "SELECT 'ORDERS' AS name, count(*)::BIGINT AS declared, count(*)::BIGINT AS parsed, true AS ok FROM orders"),
     "dsj_tables": (dsj_tables, "SELECT 'PLAIN' AS container, false AS nested, '1.1.0' AS version, 'IG.ORDERS' AS item_group_oid, 'ORDERS' AS name, count(*) AS records, 4 AS column_count FROM orders"),
     "dsj_columns": (dsj_columns, "SELECT * FROM (VALUES (0, 'ORDERKEY', 'orderkey', 'integer', NULL, 1), (1, 'STATUS', 'status', 'string', NULL, -1), (2, 'PRICE', 'price', 'double', NULL, -1), (3, 'ODATE', 'odate', 'date', 'integer', -1)) t(index, name, label, data_type, target_type, key_sequence)"),
-    "dsj_key_order": (dsj_key_order, "SELECT o_orderkey::DOUBLE AS orderkey FROM orders ORDER BY o_orderkey LIMIT 100"),
+    "dsj_key_order": (dsj_key_order, "SELECT o_orderkey::DOUBLE AS orderkey FROM orders ORDER BY o_orderkey"),
     "dsj_key_rank": (dsj_key_rank, "SELECT row_number() OVER (ORDER BY o_orderkey) AS key_rank, o_orderkey::DOUBLE AS orderkey FROM orders"),
+    "dsj_integrity": (dsj_integrity, INTEGRITY_SQL),
+    "dsj_string_cells": (dsj_string_cells, "SELECT n::DOUBLE AS n, s FROM (VALUES (0, '1'), (1, '12345678901234567890'), (2, 'true'), (3, NULL), (4, 'a \" b'), (5, '{\"k\":[1,2]}'), (6, '[1,null]')) t(n, s)"),
+    "dsj_folder_rows": (dsj_folder_rows, "SELECT count(*) AS n, sum(o_orderkey)::DOUBLE AS keys, 40::BIGINT AS firsts FROM orders"),
     "container_kinds": (container_kinds, "SELECT CASE o_orderkey % 5 WHEN 0 THEN 'GZIP' WHEN 1 THEN 'ZLIB' WHEN 2 THEN 'PLAIN' ELSE 'UNKNOWN' END AS container, count(*) AS n FROM orders GROUP BY 1"),
     "xpt_scan_lineitem": (xpt_scan_lineitem, "SELECT l_orderkey::DOUBLE AS l_orderkey, l_linenumber::DOUBLE AS l_linenumber, l_quantity, l_extendedprice, l_discount, l_returnflag FROM lineitem"),
     "xpt_pruned": (xpt_pruned, "SELECT l_returnflag AS flag, sum(l_quantity) AS qty, count(*) AS n FROM lineitem GROUP BY 1"),
     "xpt_members": (xpt_members, "SELECT 'NATION' AS member, n_nationkey::DOUBLE AS key, n_name AS name FROM nation UNION ALL SELECT 'REGION', r_regionkey::DOUBLE, r_name FROM region"),
+    "xpt_member_ends": (xpt_member_ends, XPT_ENDS_SQL),
     "xpt_variables": (xpt_variables, "SELECT m AS member, n AS number, v AS name, t AS type, l AS length, p AS position FROM (VALUES ('NATION', 1, 'KEY', 'NUMERIC', 8, 0), ('NATION', 2, 'NAME', 'CHARACTER', 25, 8), ('REGION', 1, 'KEY', 'NUMERIC', 8, 0), ('REGION', 2, 'NAME', 'CHARACTER', 25, 8)) x(m, n, v, t, l, p)"),
     "xpt_member_headers": (xpt_member_headers, "SELECT n AS name, '9.4' AS version, 'Linux' AS os, 2 AS variables, 140 AS descriptor, '2020-01-01' AS created, NULL::BIGINT AS row_count FROM (VALUES ('NATION'), ('REGION')) x(n)"),
     "xpt_missing_tags": (xpt_missing_tags, "SELECT c_custkey::DOUBLE AS key, CASE WHEN c_acctbal >= 0 THEN c_acctbal END AS bal, CASE WHEN c_acctbal < 0 THEN '.' END AS tag FROM customer"),
@@ -434,6 +583,8 @@ QUERIES = {
     "bdat_deleted_rows": (_bdat(deleted=_seventh), BDAT_SQL + " WHERE c_custkey % 7 <> 0"),
     "bdat_deleted_compressed": (_bdat(deleted=_seventh, compression="SASYZCRL"), BDAT_SQL + " WHERE c_custkey % 7 <> 0"),
     "bdat_deleted_counts": (bdat_deleted_counts, "SELECT count(*) FILTER (c_custkey % 7 = 0) AS deleted, count(*) AS total FROM customer"),
+    "bdat_deleted_page": (bdat_deleted_page, BDAT_SQL + " WHERE c_custkey > 100"),
+    "bdat_headers": (bdat_headers, "SELECT true AS server, true AS os_name, true AS some"),
     "bdat_datasets": (bdat_datasets, "SELECT 'CUSTOMER' AS name, 'UNIX' AS platform, 64 AS bits, 'UTF-8' AS charset, 'SASYZCRL' AS compression, 5::BIGINT AS column_count, 61::BIGINT AS row_length, count(*)::BIGINT AS row_count, count(*) FILTER (c_custkey % 7 = 0)::BIGINT AS deleted_count FROM customer"),
     "bdat_variables": (bdat_variables, "SELECT * FROM (VALUES (0, 'c_custkey', 'NUMERIC', 0::BIGINT, 8, 0), (1, 'c_name', 'CHARACTER', 8, 25, 0), (2, 'c_nationkey', 'NUMERIC', 33, 8, 0), (3, 'c_acctbal', 'NUMERIC', 41, 8, 0), (4, 'c_mktsegment', 'CHARACTER', 49, 12, 0)) t(index, name, type, \"offset\", width, sort_order)"),
     "library_min_max": (library_min_max, "SELECT strftime(DATE '1960-01-01' + min(f)::INT, '%Y-%m-%d') AS created, strftime(DATE '1960-01-01' + max(f)::INT, '%Y-%m-%d') AS modified, count(*) AS members FROM (SELECT min(c_custkey) AS f FROM customer GROUP BY c_mktsegment)"),
@@ -454,7 +605,9 @@ QUERIES = {
     "buffer_long_missing": (buffer_long_missing, "SELECT event_id, CASE WHEN event_id % 4 < 2 THEN -9223372036854775808 ELSE trunc(value * 10 - 5)::BIGINT END AS as_long, event_id % 4 < 2 AS missing, event_id % 4 < 2 AS nan_back FROM events"),
     "type_names": (type_names, "SELECT CASE p_partkey % 6 WHEN 0 THEN 'string' WHEN 1 THEN 'integer' WHEN 2 THEN 'double' WHEN 3 THEN 'datetime' WHEN 4 THEN 'other' ELSE 'uri' END AS kind, count(*) AS n FROM part GROUP BY 1"),
     "target_mapping": (target_mapping, "SELECT * FROM (VALUES ('datetime', 'integer', 86400::DOUBLE), ('date', 'integer', 1), ('time', 'integer', 3723), ('string', 'integer', 1234), ('decimal', 'decimal', 1234.5), ('float', 'decimal', 2.5), ('decimal', 'decimal', 'NaN'::DOUBLE)) t(kind, target, value)"),
-    "encoding_lookup": (encoding_lookup, None),
+    "unix_mapping": (unix_mapping, "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS of_date, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') AS of_datetime, date_diff('day', DATE '1970-01-01', o_orderdate) || '.0' AS of_string FROM orders"),
+    "sas_datetime_regions": (sas_datetime_regions, "SELECT * FROM (VALUES " + ", ".join(f"('{x}', {'NULL' if n is None else n}::DOUBLE)" for x, n in REGIONS) + ") t(text, seconds)"),
+    "encoding_lookup": (encoding_lookup, "SELECT code::INT AS code, charset, row_number() OVER (PARTITION BY lower(charset) ORDER BY CASE WHEN code > 127 THEN code - 256 ELSE code END) = 1 AS preferred FROM (VALUES " + ", ".join(f"({c}, '{n}')" for c, n in charsets.CHARSETS.items()) + ") t(code, charset)"),
     "header_texts": (header_texts, "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS text FROM events"),
 }
 

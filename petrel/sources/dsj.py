@@ -11,10 +11,11 @@ from __future__ import annotations
 import json
 import logging
 import zlib
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from ..functions import mapping
@@ -24,6 +25,8 @@ from .files import Reader, listed, resolve
 LOG = logging.getLogger(__name__)
 SLICE_ROWS = 1000
 CHUNK = 1 << 18
+HEADS_AT_ONCE = 16
+END_MARK = "end of the row"
 REQUIRED = ("datasetJSONCreationDateTime", "datasetJSONVersion", "itemGroupOID", "name", "label")
 
 
@@ -279,6 +282,9 @@ def _stream_rows(container: str, nested: bool):
                 raise ValueError("a row must be an array")
             yield tokens.slice()
 
+    def batch_of(held: list[str], first: int, uri: str) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(held), pa.array(range(first, first + len(held)), pa.int64()), pa.array([_name(uri)] * len(held))], names=["value", "row_index", "file"])
+
     def run(batches):
         for batch in batches:
             for uri in batch.column(0).to_pylist():
@@ -286,19 +292,20 @@ def _stream_rows(container: str, nested: bool):
                 for row in rows(uri):
                     held.append(row)
                     if len(held) == 1024:
-                        yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(range(first, first + len(held)), pa.int64())], names=["value", "row_index"])
+                        yield batch_of(held, first, uri)
                         first, held = first + len(held), []
                 if held:
-                    yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(range(first, first + len(held)), pa.int64())], names=["value", "row_index"])
+                    yield batch_of(held, first, uri)
 
     return run
 
 
 def cells(value: Column, n: int, where: Column) -> Column:
     """Array of the texts of a row's n cells; a row that is no array of n values fails the query."""
-    # Text behind a row's end would be passed over; inside one more pair of brackets it is an error.
-    wrapped = F.from_json(F.concat(F.lit("["), value, F.lit("]")), "array<array<string>>")
-    parsed = F.when((F.size(wrapped) == 1) & F.ltrim(value).startswith("["), wrapped[0])
+    # Text behind a row's end would be passed over; between a bracket and one more element it shows.
+    wrapped = F.from_json(F.concat(F.lit("["), value, F.lit(f',["{END_MARK}"]]')), "array<array<string>>")
+    whole = (F.size(wrapped) == 2) & (F.get(F.get(wrapped, 1), 0) == END_MARK) & F.ltrim(value).startswith("[")
+    parsed = F.when(whole, F.get(wrapped, 0))
     size = F.size(parsed)
     return (
         F.when(parsed.isNull(), F.raise_error(F.concat(F.lit("not a row: "), F.substring(value, 1, 80))).cast("array<string>"))
@@ -318,11 +325,11 @@ def typed(cell: Column, kind: Column, data_type: str, name: str) -> Column:
 def read_dsj(spark: SparkSession, path: str, verify: bool = True, row_index: bool = False, apply_targets: bool = False, strict: bool = True, columns: list[str] | None = None) -> DataFrame:
     """The rows of a Dataset-JSON file, or of the files of a folder with one layout.
 
-    ``verify`` counts the rows against the declared number first; ``row_index`` adds the
+    ``verify`` counts the rows of all files against their declared numbers first, in one job; ``row_index`` adds the
     0-based _row_index in file order; ``apply_targets`` turns columns with a target type into
     numbers; ``strict`` refuses quoted numbers in numeric columns; ``columns`` prunes.
     """
-    tables = [read_head(p) for p in listed(path, "json")]
+    tables = read_heads(path)
     if not tables:
         raise FileNotFoundError(path)
     first = tables[0]
@@ -333,10 +340,13 @@ def read_dsj(spark: SparkSession, path: str, verify: bool = True, row_index: boo
     n = len(first.columns)
     rows = rows.select(cells(F.col("value"), n, F.coalesce(F.col("row_index").cast("string"), F.lit("?"))).alias("cells"), "value", "row_index")
     wanted = [c for c in first.columns if columns is None or c.name in columns]
+    if strict and any(buffer_type(c.data_type) == "double" for c in wanted):
+        # One parse a row tells the kinds of all its numeric cells.
+        rows = rows.select("cells", F.try_parse_json("value").alias("kinds"), "row_index")
     out = []
     for c in wanted:
         cell = F.col("cells")[c.index]
-        kind = F.schema_of_variant(F.try_variant_get(F.try_parse_json(F.col("value")), f"$[{c.index}]", "variant")) if strict else F.lit("DOUBLE")
+        kind = F.schema_of_variant(F.try_variant_get(F.col("kinds"), f"$[{c.index}]", "variant")) if strict and buffer_type(c.data_type) == "double" else F.lit("DOUBLE")
         x = typed(cell, kind, c.data_type, c.name)
         if apply_targets and mapping.parse_type(c.target_type, mapping.TARGET_TYPES) in ("integer", "decimal"):
             x = mapping.target_mapper(c.data_type, c.target_type)(x.cast("string") if buffer_type(c.data_type) == "double" else x)
@@ -347,68 +357,85 @@ def read_dsj(spark: SparkSession, path: str, verify: bool = True, row_index: boo
     return result
 
 
+def read_heads(path: str) -> list[DsjTable]:
+    """The heads of a file, of a folder's files or of a pattern's, several at a time."""
+    with ThreadPoolExecutor(HEADS_AT_ONCE) as pool:
+        return list(pool.map(read_head, listed(path, "json")))
+
+
+def _name(path: str) -> str:
+    return path.rsplit("/", 1)[-1]
+
+
 def _raw_rows(spark: SparkSession, tables: list[DsjTable], row_index: bool) -> DataFrame:
-    """(value, row_index): the text of each row; row_index is null for split files unless asked for."""
-    parts = []
+    """(value, row_index, file): the text of each row; row_index is null for split files unless asked for.
+
+    One branch for all plain files and one for each kind of the others, however many files there are."""
     plain = [t for t in tables if t.container == "PLAIN" and not t.nested]
-    for t in plain:
-        parts.append(_ndjson_rows(spark, t, row_index))
-    for key in {(t.container, t.nested) for t in tables if t not in plain}:
+    parts = [_ndjson_rows(spark, plain, row_index)] if plain else []
+    for key in sorted({(t.container, t.nested) for t in tables if t.container != "PLAIN" or t.nested}):
         paths = [t.path for t in tables if (t.container, t.nested) == key]
         files = spark.createDataFrame([(p,) for p in paths], "path string").repartition(len(paths))
-        parts.append(files.mapInArrow(_stream_rows(*key), "value string, row_index long"))
+        parts.append(files.mapInArrow(_stream_rows(*key), "value string, row_index long, file string"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
-def _head_lines(t: DsjTable) -> int:
-    """Number of line feeds of the metadata object; what follows on its last line must be blank."""
+def _head_lines(t: DsjTable) -> tuple[str, int, str]:
+    """(file, line feeds of the metadata object, its first line); what follows on its last line must be blank."""
     with Reader(t.path) as file:
         raw = file.at(0, t.rows_at)
         rest = file.at(t.rows_at, CHUNK)
     line, feed, _ = rest.partition(b"\n")
     if line.strip():
         raise ValueError(f"{t.path}: a row on the metadata's last line")
-    return raw.count(b"\n") + (1 if feed else 0)
+    text = raw.rstrip(b" \t\r\n")
+    return _name(t.path), raw.count(b"\n") + (1 if feed else 0), text.decode() if b"\n" not in text else ""
 
 
-def _ndjson_rows(spark: SparkSession, t: DsjTable, row_index: bool) -> DataFrame:
-    lines = spark.read.text(t.path)
-    skip = _head_lines(t)
-    block, place = F.col("_metadata.file_block_start"), F.monotonically_increasing_id()
-    numbered = lines.select("value", block.alias("block"), place.alias("place"))
+def _ndjson_rows(spark: SparkSession, tables: list[DsjTable], row_index: bool) -> DataFrame:
+    with ThreadPoolExecutor(HEADS_AT_ONCE) as pool:
+        found = list(pool.map(_head_lines, tables))
+    lines = spark.read.text([t.path for t in tables])
+    name = F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))  # as in a URI
+    file, block, place = name, F.col("_metadata.file_block_start"), F.monotonically_increasing_id()
     blank = F.trim(F.regexp_replace("value", r"[\t\r]", "")) == ""
-    if not row_index:
-        # The metadata's lines are the first of the block that starts the file; ids rise by one within a block's partition.
-        with Reader(t.path) as file:
-            head = file.at(0, t.rows_at).decode().split("\n")
-        if len(head) <= 1 + (skip > 1):
-            return numbered.where(~((F.col("block") == 0) & (F.rtrim("value") == F.lit(head[0].rstrip())))).where(~blank).select("value", F.lit(None).cast("long").alias("row_index"))
-    counts = numbered.groupBy("block").agg(F.count("*").alias("n"), F.min("place").alias("least"))
-    from pyspark.sql import Window
-
-    before = F.coalesce(F.sum("n").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    shift = counts.select("block", "least", before.alias("shift"))  # a row per file split
-    placed = numbered.join(F.broadcast(shift), "block").withColumn("row_index", F.col("shift") + F.col("place") - F.col("least") - skip)
-    return placed.where((F.col("row_index") >= 0) & ~blank).select("value", "row_index")
+    if not row_index and all(head for _, _, head in found):
+        rows = lines.select("value", file.alias("file"), block.alias("block")).where(~blank)
+        if len(found) == 1:
+            rows = rows.where(~((F.col("block") == 0) & (F.rtrim("value") == F.lit(found[0][2]))))
+        else:
+            heads = spark.createDataFrame([(n, h) for n, _, h in found], "name string, head string").select("name", F.xxhash64("head").alias("h"))
+            is_head = (F.col("file") == F.col("name")) & (F.col("block") == 0) & F.col("value").startswith("{") & (F.xxhash64(F.rtrim(F.regexp_replace("value", r"[\t\r]+$", ""))) == F.col("h"))
+            rows = rows.join(F.broadcast(heads), is_head, "left_anti")  # 30 bytes a file, whose heads the driver has read
+        return rows.select("value", F.lit(None).cast("long").alias("row_index"), "file")
+    # Ids rise by one within a file split's partition; the metadata's lines are a file's first.
+    numbered = lines.select("value", file.alias("file"), block.alias("block"), place.alias("place"))
+    skips = spark.createDataFrame([(n, s) for n, s, _ in found], "file string, skip int")
+    counts = numbered.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("place").alias("least"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shift = counts.select("file", "block", "least", before.alias("shift")).join(F.broadcast(skips), "file")  # a row per file split
+    placed = numbered.join(F.broadcast(shift), ["file", "block"]).withColumn("row_index", F.col("shift") + F.col("place") - F.col("least") - F.col("skip"))
+    return placed.where((F.col("row_index") >= 0) & ~blank).select("value", "row_index", "file")
 
 
 def verify_records(spark: SparkSession, tables: list[DsjTable]) -> None:
-    """Fail where a file's rows are not as many as it declares."""
-    for t in tables:
-        if t.records >= 0:
-            found = _raw_rows(spark, [t], False).count()
-            if found != t.records:
-                raise ValueError(f"{t.path}: {t.records} records declared, {found} found")
+    """Fail where a file's rows are not as many as it declares; one job counts all files."""
+    declared = [t for t in tables if t.records >= 0]
+    if not declared:
+        return
+    found = dict(_raw_rows(spark, declared, False).groupBy("file").count().collect())  # a row per file
+    for t in declared:
+        if found.get(_name(t.path), 0) != t.records:
+            raise ValueError(f"{t.path}: {t.records} records declared, {found.get(_name(t.path), 0)} found")
 
 
 def record_counts(spark: SparkSession, path: str) -> DataFrame:
     """(name, declared, parsed, ok) of each file."""
-    out = None
-    for p in listed(path, "json"):
-        t = read_head(p)
-        one = _raw_rows(spark, [t], False).agg(F.count("*").alias("parsed")).select(F.lit(t.name).alias("name"), F.lit(t.records).cast("long").alias("declared"), "parsed", ((F.lit(t.records) < 0) | (F.col("parsed") == t.records)).alias("ok"))
-        out = one if out is None else out.union(one)
-    return out
+    tables = read_heads(path)
+    heads = spark.createDataFrame([(_name(t.path), t.name, t.records) for t in tables], "file string, name string, declared long")
+    parsed = _raw_rows(spark, tables, False).groupBy("file").agg(F.count("*").alias("parsed"))
+    both = heads.join(parsed, "file", "left").withColumn("parsed", F.coalesce("parsed", F.lit(0)))
+    return both.select("name", "declared", "parsed", ((F.col("declared") < 0) | (F.col("parsed") == F.col("declared"))).alias("ok"))

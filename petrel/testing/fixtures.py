@@ -22,9 +22,11 @@ _LOCAL: list[str] = []
 
 
 def folder(spark: SparkSession, what: str) -> str:
-    """A new folder under spark.checkpoint.dir, or, where that is unset, in a temporary folder of this process."""
+    """A new folder under spark.checkpoint.dir, or, where that is unset and the master local, in a temporary folder of this process."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         if not _LOCAL:
             _LOCAL.append(tempfile.mkdtemp(prefix="petrel-fixtures-"))
             atexit.register(shutil.rmtree, _LOCAL[0], True)
@@ -60,6 +62,15 @@ def write_files(df: DataFrame, path: str, encode: Callable[[pa.Table], bytes], s
     return path
 
 
+def write_bytes(uri: str, data: bytes) -> str:
+    """One small file as it is."""
+    system, path = resolve(uri)
+    system.create_dir(path.rsplit("/", 1)[0], recursive=True)
+    with system.open_output_stream(path, compression=None) as out:
+        out.write(data)
+    return uri
+
+
 def dsj_bytes(columns: list[dict], container: str = "PLAIN", nested: bool = False, name: str = "DATA", records: int | None = None) -> Callable[[pa.Table], bytes]:
     """Encoder of a table to Dataset-JSON; rows are the table's columns in order."""
 

@@ -187,3 +187,24 @@ def test_key_rank_is_whole(spark, tmp_path):
     want = sorted(rows, key=lambda r: (-r[0], r[1]))
     assert [out[i + 1] for i in range(len(want))] == want and len(out) == len(rows)
     assert tables.key_ranked(df.limit(0), str(tmp_path / "none")).count() == 0
+
+
+def test_folder_of_many_files(spark, tmp_path):
+    """Hundreds of files are one plan; heads of several lines, names with blanks, and wrong counts among them."""
+    import json
+
+    meta = {"datasetJSONCreationDateTime": "2025-01-01T00:00:00", "datasetJSONVersion": "1.1.0", "itemGroupOID": "IG", "name": "T", "label": "t", "columns": [{"itemOID": "N", "name": "N", "label": "n", "dataType": "integer"}]}
+    for i in range(300):
+        rows = "\n".join(f"[{i * 10 + k}]" for k in range(i % 4))
+        (tmp_path / f"a file {i}.ndjson").write_text(json.dumps(meta | {"records": i % 4, "fileOID": f"F{i}"}) + "\n" + rows)
+    want = sorted(float(i * 10 + k) for i in range(300) for k in range(i % 4))
+    df = dsj.read_dsj(spark, str(tmp_path))
+    assert str(df._jdf.queryExecution().analyzed()).count("Union") == 0 and sorted(r.N for r in df.collect()) == want
+    numbered = dsj.read_dsj(spark, str(tmp_path), row_index=True)
+    assert all(r._row_index == r.N % 10 for r in numbered.collect())
+    (tmp_path / "pretty.ndjson").write_text(json.dumps(meta | {"records": 2}, indent=1) + "\n[9001]\n[9002]\n")
+    assert sorted(r.N for r in dsj.read_dsj(spark, str(tmp_path)).collect()) == [*want, 9001.0, 9002.0]
+    assert dsj.record_counts(spark, str(tmp_path)).where("ok").count() == 301
+    (tmp_path / "wrong.ndjson").write_text(json.dumps(meta | {"records": 5}) + "\n[1]\n")
+    with pytest.raises(ValueError, match="wrong.ndjson: 5 records declared, 1 found"):
+        dsj.read_dsj(spark, str(tmp_path))
