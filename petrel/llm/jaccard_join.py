@@ -236,14 +236,15 @@ def _derived(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 STEPS = 4  # blocks of sizes for each factor 100 / percent
 
 
-def _candidates(now: DataFrame, percent: int, tile: int) -> DataFrame:
+def _candidates(now: DataFrame, percent: int, tile: int, scratch: Scratch) -> DataFrame:
     """Pairs (x_, y_) of entries of one list, x of the larger set, of blocks that neither size nor position rules out.
 
     Sets x and y that link have 180 * min(n_x - p_x, n_y - p_y) >= 80 * (n_x + n_y) (for 80 percent), so an entry's
     position bounds its partner's size from above.  Lists are blocked by the sizes of both sides: an entry is put only
     into the blocks that its bound leaves open, and blocks that one side's positions rule out are never met.  A second
     bound is the unshared elements': 180 * (u_x + u_y) <= 20 * (n_x + n_y), so of two sets one at least has an excess
-    180 * u - 20 * n of at most nothing, and lists are blocked by that, too.  Blocks of over ``tile`` entries are cut
+    180 * u - 20 * n of at most nothing, and lists are blocked by that, too.  The list's own least and greatest size
+    (n0, n1) and its greatest excess (e1) keep an entry out of blocks that the list does not have.  Blocks of over ``tile`` entries are cut
     into tiles of the larger sets, with a copy of the smaller ones for each.
     """
     columns = ["s", "n", "u", "p", "comp", "pv", "dist", *(f"k{j}" for j in range(SKETCH))]
@@ -253,14 +254,19 @@ def _candidates(now: DataFrame, percent: int, tile: int) -> DataFrame:
 
     # The largest partner by the position, and whether the set has too many unshared elements for another such set.
     most = F.expr(f"least({100 + percent} * (n - p) div {percent} - n, 100 * n div {percent})")
-    rows = now.withColumn("most", most).where(f"100 * most >= {percent} * n").withColumn("e", F.expr(f"{100 + percent} * u > {100 - percent} * n"))
+    rows = now.withColumn("most", F.least(most, "n1")).where(f"100 * most >= {percent} * n").withColumn("e", F.expr(f"{100 + percent} * u > {100 - percent} * n"))
     own = F.expr(block("n"))
-    small = f"greatest(1, ceil({percent} * n / 100D))"
-    kinds = F.expr("CASE WHEN e THEN array(false) ELSE array(false, true) END")  # the kinds of partner: both cannot have the excess
-    x = rows.select("h", own.alias("bx"), F.explode(F.expr(f"sequence({block(small)}, {block('least(n, most)')})")).alias("by"), F.col("e").alias("ex"), kinds.alias("ey"), *(F.col(c).alias(f"x_{c}") for c in columns)).withColumn("ey", F.explode("ey"))
+    small = f"greatest(n0, ceil({percent} * n / 100D))"
+    kinds = F.expr("CASE WHEN e OR e1 <= 0 THEN array(false) ELSE array(false, true) END")  # the kinds of partner: both cannot have the excess
+    x = rows.select("h", own.alias("bx"), F.explode(F.expr(f"CASE WHEN {small} <= least(n, most) THEN sequence({block(small)}, {block('least(n, most)')}) END")).alias("by"), F.col("e").alias("ex"), kinds.alias("ey"), *(F.col(c).alias(f"x_{c}") for c in columns)).withColumn("ey", F.explode("ey"))
     y = rows.where("most >= n").select("h", F.explode(F.expr(f"sequence({block('n')}, {block('most')})")).alias("bx"), own.alias("by"), kinds.alias("ex"), F.col("e").alias("ey"), *(F.col(c).alias(f"y_{c}") for c in columns)).withColumn("ex", F.explode("ex"))
     key = ["h", "bx", "by", "ex", "ey"]
-    full = x.groupBy(*key).agg(F.count("*").alias("m")).where(f"m > {tile}").select(*key, F.expr(f"cast(1 + m div {tile} AS int)").alias("tiles"))
+    full = x.select(*key).groupBy(*key).agg(F.count("*").alias("m")).where(f"m > {tile}").select(*key, F.expr(f"cast(1 + m div {tile} AS int)").alias("tiles"))
+    full = scratch.save(full, "full")
+    n = full.count()
+    if not n:
+        return x.join(y, key)
+    full = F.broadcast(full) if n <= 200_000 else full  # 40 bytes a block; more are joined by a shuffle
     one = F.coalesce("tiles", F.lit(1))
     x = x.join(full, key, "left").withColumn("tile", F.pmod(F.hash("x_s"), one)).drop("tiles")
     y = y.join(full, key, "left").withColumn("tile", F.explode(F.sequence(F.lit(0), one - 1))).drop("tiles")
@@ -300,10 +306,12 @@ def _links(sets: DataFrame, percent: int, scratch: Scratch, rounds: int = 4, til
             break
     # The exact rest: entries of lists that still join different components, in blocks.
     now = entries.join(state, "s")
-    lists = now.groupBy("h").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("h")
-    now = now.join(lists, "h")
+    excess = f"{100 + percent} * u - {100 - percent} * n"
+    lists = now.groupBy("h").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min("n").alias("n0"), F.max("n").alias("n1"), F.min(F.expr(excess)).alias("e0"), F.max(F.expr(excess)).alias("e1"))
+    # An entry whose excess no other of its list makes up for has no partner there.
+    now = now.join(lists.where("c0 <> c1").drop("c0", "c1"), "h").where(f"{excess} + e0 <= 0")
     now = scratch.save(now.join(now.select("s").distinct().join(sets, "s").select("s", *_sketches("r")), "s"), "open")
-    both = _candidates(now, percent, tile)
+    both = _candidates(now, percent, tile, scratch)
     apart = " + ".join(f"bit_count(x_k{j} ^ y_k{j})" for j in range(SKETCH))
     pairs = both.where(
         "(x_n > y_n OR x_n = y_n AND x_s > y_s) AND x_comp <> y_comp"
