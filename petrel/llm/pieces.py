@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, functions as F
 from .wordkernel import lean
 
 SPACE = "▁"
-REMEMBERED = 200_000  # segments a worker remembers
+REMEMBERED = 100_000  # segments a worker remembers
 
 
 class CharMap:
@@ -207,7 +207,7 @@ def encoder(model: bytes) -> PieceEncoder:
     return _ENCODERS[key]
 
 
-def _chunks(batches, most: int = 2_000_000):
+def _chunks(batches, most: int = 500_000):
     """(ids, texts) of runs of rows with some bound on their characters."""
     for batch in batches:
         texts = batch.column(1).fill_null("").to_pylist()

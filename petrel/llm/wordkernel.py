@@ -166,7 +166,7 @@ def short_hash(w: np.ndarray) -> np.uint64:
 # a few that stand for them go to the bucket's plain part (salt 0), where they meet the other batches' entries.
 
 HOT = 256
-FLUSH = 600_000  # entries of a batch
+FLUSH = 400_000  # entries of a batch
 PLAIN = 2_000_000  # entries of one hash that the plain part of a bucket may get
 SALTS = 4095
 
