@@ -147,10 +147,9 @@ def _count(batches):
 def train(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 1500, most_languages: int = 1000) -> dict:
     """The model: languages, n-gram tables and allowed scripts, from a bounded sample of the usable rows."""
     rows = docs.where(usable & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.abs(F.xxhash64(F.lit(5), F.col(id_col)) % 1_000_003).alias("dice"))
-    counts = rows.groupBy("lang").count()
-    if (n := counts.count()) > most_languages:
-        raise ValueError(f"{n} languages; a model holds {most_languages} at most (most_languages)")
-    sizes = {r[0]: r[1] for r in counts.collect()}  # a row per language
+    sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().limit(most_languages + 1).collect()}  # a row per language
+    if len(sizes) > most_languages:
+        raise ValueError(f"more languages than a model holds (most_languages, {most_languages})")
     share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, per_language / n) * 1_000_003)]) if sizes else F.create_map(F.lit(""), F.lit(0.0))
     sample = rows.where(F.col("dice") < share[F.col("lang")]).select("lang", "text").limit(2 * per_language * max(1, len(sizes)))
     counted = sample.repartition(8).mapInArrow(_count, "lang string, k int, cells binary, counts binary").collect()
