@@ -157,7 +157,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     need_sql = lambda n: f"ceil({percent} * {n} / 100D)"
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
 
-    prof = scratch.save(texts.mapInArrow(_profiles(k), "id long, n long, d1 long, d2 long"), "profiles")
+    prof = scratch.save(wk.over_texts(texts, _profiles(k), "id long, n long, d1 long, d2 long"), "profiles")
     total, rows = prof.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     classes = scratch.save(prof.where("n > 0 AND id IS NOT NULL").groupBy("n", "d1", "d2").agg(F.min("id").alias("rep")), "classes")
 
@@ -166,7 +166,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     slack = lambda n: max(1, n // 20)
     entries = total * (1.05 - percent / 100)
     deal = wk.Deal(wk.bucket_bits(entries), coarse)
-    dealt = texts.select("text").mapInArrow(_dealt(k, deal, lambda n: n - need(n) + slack(n), 5, 4, hot or wk.hot_least(entries)), wk.PACKED)
+    dealt = wk.over_texts(texts.select("text"), _dealt(k, deal, lambda n: n - need(n) + slack(n), 5, 4, hot or wk.hot_least(entries)), wk.PACKED)
     hits = deal.spread(dealt, [4, 5]).groupBy("bucket", "salt").applyInArrow(_counts, "s long, c long").groupBy("s").agg(F.sum("c").alias("c"))
     alive = classes.withColumn("s", F.expr(f"d1 & {int(MASK40)}L")).join(hits, "s").where(f"c >= greatest(1, {need_sql('n')} div 20)").select("n", "d1", "d2", "rep")
     alive = scratch.save(alive, "alive")
@@ -177,7 +177,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     ids = alive.select(F.col("rep").alias("id"))
     ids = F.broadcast(ids) if left <= 500_000 else ids  # 8 bytes an id; more are joined by a shuffle
     deal = wk.Deal(wk.bucket_bits(total), coarse)
-    dealt = texts.join(ids, "id", "left_semi").select("text").mapInArrow(_dealt(k, deal, lambda n: n, 8, 5, hot or wk.hot_least(total)), wk.PACKED)
+    dealt = wk.over_texts(texts.join(ids, "id", "left_semi").select("text"), _dealt(k, deal, lambda n: n, 8, 5, hot or wk.hot_least(total)), wk.PACKED)
     elements = deal.spread(dealt, [5, 8]).groupBy("bucket", "salt").applyInArrow(_elements, "s long, h long, df long")
     grouped = elements.groupBy("s").agg(F.array_sort(F.collect_set(F.struct("df", "h"))).alias("r")).select("s", F.col("r.h").alias("r"))
     sets = alive.select(F.col("d1").alias("s"), "n").distinct().join(grouped, "s").where(f"size(r) >= {need_sql('n')}").select("s", "n", "r")

@@ -152,7 +152,7 @@ def train(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str
         raise ValueError(f"more languages than a model holds (most_languages, {most_languages})")
     share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, per_language / n) * 1_000_003)]) if sizes else F.create_map(F.lit(""), F.lit(0.0))
     sample = rows.where(F.col("dice") < share[F.col("lang")]).select("lang", "text").limit(2 * per_language * max(1, len(sizes)))
-    counted = sample.repartition(8).mapInArrow(_count, "lang string, k int, cells binary, counts binary").collect()
+    counted = wk.over_texts(sample.repartition(8), _count, "lang string, k int, cells binary, counts binary").collect()
     langs = sorted(sizes)
     grams = np.zeros((len(langs), len(GRAMS), SIZE))
     scripts = np.zeros((len(langs), len(SCRIPTS) + 1))
@@ -276,7 +276,7 @@ def identify(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
     extra = (", spans array<struct<first: long, words: long, lang: string>>" if spans else "") + (", text string" if keep_text else "")
-    return rows.mapInArrow(_predict(shared, penalty, spans, keep_text), f"id {kind}, lang_pred string, score double{extra}").withColumnRenamed("id", id_col)
+    return wk.over_texts(rows, _predict(shared, penalty, spans, keep_text), f"id {kind}, lang_pred string, score double{extra}").withColumnRenamed("id", id_col)
 
 
 def held_out(id_col: str = "doc_id") -> Column:

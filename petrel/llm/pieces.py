@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .wordkernel import lean
+from .wordkernel import lean, over_texts
 
 SPACE = "▁"
 REMEMBERED = 100_000  # segments a worker remembers
@@ -263,7 +263,7 @@ def encode_texts(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     if digests:
-        out = rows.mapInArrow(_digests(shared), f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, n_bytes long, spans_sha256 string")
+        out = over_texts(rows, _digests(shared), f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, n_bytes long, spans_sha256 string")
     else:
-        out = rows.mapInArrow(_pieces(shared), f"id {kind}, ids array<int>, begin array<int>, end array<int>, decoded string")
+        out = over_texts(rows, _pieces(shared), f"id {kind}, ids array<int>, begin array<int>, end array<int>, decoded string")
     return out.withColumnRenamed("id", id_col)

@@ -238,13 +238,13 @@ def repeated_windows(docs: DataFrame, id_col: str, text_col: str, span: int, scr
     chars = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     bits = wk.bucket_bits(chars / 6)
     deal, hot = wk.Deal(bits, coarse), hot or wk.hot_least(chars / 6)
-    dealt = texts.select("k", "text").mapInArrow(_anchors(block, span, deal, hot), wk.PACKED)
+    dealt = wk.over_texts(texts.select("k", "text"), _anchors(block, span, deal, hot), wk.PACKED)
     hits = deal.spread(dealt, [4, 5]).groupBy("bucket", "salt").applyInArrow(_anchored, "k long, h long")
     hits = scratch.save(hits, "anchors")
     del dealt
     scratch.release()
     mine = texts.join(hits.groupBy("k").agg(F.collect_list("h").alias("hits")), "k")
-    dealt = mine.select("id", "text", "hits").mapInArrow(_extended(block, span, deal, hot), wk.PACKED)
+    dealt = wk.over_texts(mine.select("id", "text", "hits"), _extended(block, span, deal, hot), wk.PACKED)
     gone = scratch.save(deal.spread(dealt, [6, 8]).groupBy("bucket", "salt").applyInArrow(_later, "id long, h long"), "later")
     del dealt, mine, hits
     scratch.drop("anchors")
@@ -262,5 +262,5 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), carried.alias("carried"))
     mine = texts.join(gone.withColumnRenamed("id", "of"), F.coalesce("id", F.lit(int(NO_ID))) == F.col("of"), "left").select("id", "text", "hashes", "carried")
     kind = "kept_text string, removed array<struct<first: long, words: long>>" if full else "kept_sha256 string"
-    out = mine.mapInArrow(_cut(span, bits, full), f"id long, n_words long, n_removed long, {kind}, carried {mine.schema['carried'].dataType.simpleString()}")
+    out = wk.over_texts(mine, _cut(span, bits, full), f"id long, n_words long, n_removed long, {kind}, carried {mine.schema['carried'].dataType.simpleString()}")
     return out.select(F.col("id").alias(id_col), *[c for c in out.columns if c not in ("id", "carried")], *[F.col(f"carried.{c}").alias(c) for c in carry or []])

@@ -13,6 +13,7 @@ from functools import wraps
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
 U = np.uint64
 SLICE_BYTES = 500_000  # bytes of text hashed at once; a longer text is hashed alone
@@ -33,6 +34,19 @@ def lean(run: Callable) -> Callable:
     return wrapped
 
 
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 4 << 20
+
+
+def over_texts(rows: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """rows.mapInArrow(run, schema) in batches bounded by bytes: Spark bounds them by rows, and the JVM builds each batch
+    outside its heap, doubling as it grows.  Sets BATCH for the session where nobody has."""
+    conf = rows.sparkSession.conf
+    if conf.get(BATCH, None) is None:
+        conf.set(BATCH, str(BATCH_BYTES))
+    return rows.mapInArrow(run, schema)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """SplitMix64's finaliser: a bijection of 64-bit values."""
     x = x ^ (x >> U(30))

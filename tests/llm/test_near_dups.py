@@ -205,3 +205,26 @@ def test_plan_misses_few():
         bits, tables = plan(rows, 0.93)
         p = (1 - math.acos(0.93) / math.pi) ** bits
         assert (1 - p) ** tables <= 0.003
+
+
+def test_batches_of_texts_are_bounded_by_bytes(spark):
+    import pyarrow as pa
+
+    from petrel.llm import wordkernel as wk
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["n", "bytes"])
+
+    before = spark.conf.get(wk.BATCH, None)
+    try:
+        spark.conf.unset(wk.BATCH)
+        rows = spark.range(20_000).coalesce(1).selectExpr("repeat('x', 3000) AS text")
+        got = wk.over_texts(rows, sizes, "n long, bytes long").collect()
+        assert sum(r.n for r in got) == 20_000 and max(r.bytes for r in got) < 2 * wk.BATCH_BYTES
+        spark.conf.set(wk.BATCH, str(1 << 20))  # a session's own bound stays
+        assert max(r.bytes for r in wk.over_texts(rows, sizes, "n long, bytes long").collect()) < 2 << 20
+    finally:
+        spark.conf.unset(wk.BATCH)
+        if before is not None:
+            spark.conf.set(wk.BATCH, before)
