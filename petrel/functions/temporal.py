@@ -111,6 +111,13 @@ def sas_timestamp(x: Column) -> Column:
     return F.timestamp_seconds(F.floor(x).cast("long") - SAS_TO_UNIX).cast("timestamp_ntz")
 
 
+def moment_text(ts: Column) -> Column:
+    """Date and clock with a blank between; years beyond 9999 and before 0 are plain integers, without a plus or zeros in front."""
+    year = F.year(ts)
+    digits = F.when(year.between(0, 9999), F.lpad(year.cast("string"), 4, "0")).otherwise(year.cast("string"))
+    return F.concat(digits, F.date_format(ts, "-MM-dd HH:mm:ss"))
+
+
 _MONTHS = "JANFEBMARAPRMAYJUNJULAUGSEPOCTNOVDEC"
 HEADER_TIME = r"^[0-9]{2}(JAN|FEB|MAR|APR|MAY|JUN|JUL|AUG|SEP|OCT|NOV|DEC)([0-9]{2}|[0-9]{4}):[0-9]{2}:[0-9]{2}:[0-9]{2}$"
 

@@ -476,7 +476,7 @@ SELECT o_orderkey, printf('%02d:%02d:%02d', w // 3600, w // 60 % 60, w % 60) ||
 def sas_timestamps(spark, sf_dir):
     o = _t(spark, sf_dir, "orders")
     seconds = F.col("o_orderkey") * 86399.5 - 3e8
-    return o.select("o_orderkey", F.date_format(temporal.sas_timestamp(seconds), "yyyy-MM-dd HH:mm:ss").alias("moment"))
+    return o.select("o_orderkey", temporal.moment_text(temporal.sas_timestamp(seconds)).alias("moment"))
 
 
 def thousands_decimal(spark, sf_dir):

@@ -45,6 +45,25 @@ def test_query(spark, duck, name):
         assert found == sorted(tuple(cell(r[i]) for i in order) for r in cur.fetchall())
 
 
+def test_sas_timestamps_of_far_years(spark, tmp_path):
+    """Keys whose moments lie on both sides of the years 0 and 10000, and a null one."""
+    keys = [None, 0, -679000, -707500, -708000, -712000, -713000, -714000, -716163, -800000, -5000000, 2940039, 2940040, 8999999, 100000000]
+    spark.createDataFrame([(k,) for k in keys], "o_orderkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    found = {tuple(r) for r in catalog.queries()["sas_timestamps"](spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
+    assert found == set(con.execute(catalog.oracle_sql()["sas_timestamps"]).fetchall())
+    assert {(2940039, "9999-12-31 18:19:40"), (2940040, "10000-01-01 18:19:40"), (-714000, "-5-08-21 21:50:00"), (None, None)} < found
+
+
+def test_sas_timestamps_are_whole_seconds(spark, tmp_path):
+    """Beyond 2**59 microseconds the SQL's span, a double, comes 64 microseconds short of odd seconds; the query stays exact."""
+    spark.createDataFrame([(6675517,), (6675518,)], "o_orderkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    found = {tuple(r) for r in catalog.queries()["sas_timestamps"](spark, str(tmp_path)).collect()}
+    exact = "SELECT k, strftime(TIMESTAMP '1960-01-01' + to_microseconds((k::BIGINT * 172799 // 2 - 300000000) * 1000000), '%Y-%m-%d %H:%M:%S') FROM (VALUES (6675517), (6675518)) t(k)"
+    assert found == set(duckdb.sql(exact).fetchall()) == {(6675517, "20227-05-02 03:30:41"), (6675518, "20227-05-03 03:30:41")}
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
